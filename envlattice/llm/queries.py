@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import bpe, simhash
 from .common import table
 
 
@@ -21,8 +22,18 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The folder of the public tokenizers' vocabulary files.
+TOKENIZERS = os.environ.get("ENVLATTICE_TOKENIZERS", "/opt/tokenizers")
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of ``documents`` encoded and decoded again by a byte-level vocabulary."""
+    found = bpe.round_trip(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_simhash": op5_simhash}
+    return {"op5_simhash": op5_simhash, "op6_bpe": op6_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
