@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, simhash
+from . import bpe, simhash, substrings
 from .common import table
 
 
@@ -32,8 +32,14 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of ``documents`` without the words of 35-word windows that start elsewhere too."""
+    found = substrings.remove_repeated(table(spark, sf_dir, "documents"), window=35)
+    return substrings.digest(found).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_simhash": op5_simhash, "op6_bpe": op6_bpe}
+    return {"op5_simhash": op5_simhash, "op6_bpe": op6_bpe, "op9_substrings": op9_substrings}
 
 
 def oracle_sql() -> dict[str, str]:
