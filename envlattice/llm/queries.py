@@ -8,10 +8,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, simhash, substrings
+from . import bpe, quality, simhash, substrings
 from .common import table
 
 
+def op2_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hard rules' counts of every text of ``documents``, and the verdict of the voting rules."""
+    judged = quality.judge(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return judged.select("row.doc_id", *(f"quality_counts.{c}" for c in counts), "base_failed", "kept", "quality")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of ``documents``: 4-word shingles, fingerprints within 4 bits."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=4, max_distance=4)
@@ -39,7 +46,7 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_simhash": op5_simhash, "op6_bpe": op6_bpe, "op9_substrings": op9_substrings}
+    return {"op2_quality_votes": op2_quality_votes, "op5_simhash": op5_simhash, "op6_bpe": op6_bpe, "op9_substrings": op9_substrings}
 
 
 def oracle_sql() -> dict[str, str]:
