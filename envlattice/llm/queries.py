@@ -8,8 +8,57 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, simhash, substrings
-from .common import table
+from . import bpe, mixing, quality, simhash, substrings
+from .common import n_words, table, written
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of the sources of ``documents`` takes of each document, in order of training position."""
+    sized = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    planned = mixing.plan(written(sized, "sizes"), size=F.col("size"), keep=[])
+    out = planned.select(
+        F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", mixing.position().alias("position")
+    )
+    return out.orderBy("position", "doc_id")
+
+
+OP1_SQL = """
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\v\\f\\r]+')), 0)::BIGINT AS size,
+         md5(coalesce(doc_id::VARCHAR, '')) AS o
+  FROM documents),
+totals AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+ranked AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM totals),
+weighed AS (
+  SELECT *, CASE (rank - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight,
+         CASE (rank - 1) % 3 WHEN 0 THEN 4.5::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE END AS a,
+         CASE (rank - 1) % 3 WHEN 0 THEN 1.5::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 3.0::DOUBLE END AS b,
+         source_size * 2.0::DOUBLE AS cap
+  FROM ranked),
+levels AS (
+  SELECT *, (1.5::DOUBLE * (SELECT sum(source_size) FROM weighed)::BIGINT
+             - coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM weighed),
+targets AS (
+  SELECT source, source_size, a, b, weight,
+         least(cap, coalesce((SELECT level FROM levels WHERE cap > level * weight ORDER BY cap / weight, rank LIMIT 1)
+                             * weight, cap)) AS target
+  FROM levels),
+placed AS (
+  SELECT s.doc_id, s.size, t.source_size, t.target, t.a, t.b, t.weight,
+         coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.o, s.doc_id, s.size
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+due AS (
+  SELECT *, CASE WHEN target > 0 THEN least(first::DOUBLE / target, 1.0) ELSE 0.0 END * weight AS c FROM placed)
+SELECT doc_id, size, source_size, target,
+       greatest(0, least(size, floor(target)::BIGINT - first))
+       + greatest(0, least(size, floor(target)::BIGINT - source_size - first)) AS taken,
+       CASE WHEN c > 0 THEN least(2 * c / (a + sqrt(greatest(a * a + 2 * c * (b - a), 0.0))), 1.0) ELSE 0.0 END
+         AS position
+FROM due
+"""
 
 
 def op2_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,8 +95,8 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_quality_votes": op2_quality_votes, "op5_simhash": op5_simhash, "op6_bpe": op6_bpe, "op9_substrings": op9_substrings}
+    return {"op1_mixing": op1_mixing, "op2_quality_votes": op2_quality_votes, "op5_simhash": op5_simhash, "op6_bpe": op6_bpe, "op9_substrings": op9_substrings}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_mixing": OP1_SQL}
