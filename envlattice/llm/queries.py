@@ -8,9 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality, simhash, substrings
+from . import bpe, mixing, quality, simhash, substrings, tokencount
 from .common import n_words, table, written
 
+#: The folder of the public tokenizers' vocabulary files.
+TOKENIZERS = os.environ.get("ENVLATTICE_TOKENIZERS", "/opt/tokenizers")
+
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a mix of the sources of ``documents`` takes of each document, in order of training position."""
@@ -68,6 +71,12 @@ def op2_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("row.doc_id", *(f"quality_counts.{c}" for c in counts), "base_failed", "kept", "quality")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and word pieces of every text of ``documents``."""
+    found = tokencount.token_counts(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of ``documents``: 4-word shingles, fingerprints within 4 bits."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=4, max_distance=4)
@@ -78,10 +87,6 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: The folder of the public tokenizers' vocabulary files.
-TOKENIZERS = os.environ.get("ENVLATTICE_TOKENIZERS", "/opt/tokenizers")
-
-
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of ``documents`` encoded and decoded again by a byte-level vocabulary."""
     found = bpe.round_trip(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
@@ -95,7 +100,7 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_quality_votes": op2_quality_votes, "op5_simhash": op5_simhash, "op6_bpe": op6_bpe, "op9_substrings": op9_substrings}
+    return {"op1_mixing": op1_mixing, "op2_quality_votes": op2_quality_votes, "op3_token_counts": op3_token_counts, "op5_simhash": op5_simhash, "op6_bpe": op6_bpe, "op9_substrings": op9_substrings}
 
 
 def oracle_sql() -> dict[str, str]:
