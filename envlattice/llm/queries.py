@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality, simhash, substrings, tokencount
-from .common import n_words, table, written
+from . import bpe, mixing, quality, simhash, substrings, tokencount, warc
+from .common import fresh_path, n_words, table, written
 
 #: The folder of the public tokenizers' vocabulary files.
 TOKENIZERS = os.environ.get("ENVLATTICE_TOKENIZERS", "/opt/tokenizers")
@@ -99,8 +99,19 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(found).withColumnRenamed("id", "doc_id")
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of ``pages``, as read back from the archives they were written to."""
+    path = fresh_path(spark, "archives")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    found = warc.read_archives(spark, path, with_payload=False)
+    return found.select(F.col("page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_quality_votes": op2_quality_votes, "op3_token_counts": op3_token_counts, "op5_simhash": op5_simhash, "op6_bpe": op6_bpe, "op9_substrings": op9_substrings}
+    found = [
+        op1_mixing, op2_quality_votes, op3_token_counts, op5_simhash, op6_bpe, op9_substrings, op10_warc,
+    ]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
