@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality, simhash, substrings, tokencount, warc
+from . import bpe, hnsw, mixing, quality, simhash, substrings, tokencount, warc
 from .common import fresh_path, n_words, table, written
 
 #: The folder of the public tokenizers' vocabulary files.
@@ -93,6 +93,12 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op8_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of vectors of ``embeddings`` with one label and a cosine of 0.98 or more."""
+    found = hnsw.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of ``documents`` without the words of 35-word windows that start elsewhere too."""
     found = substrings.remove_repeated(table(spark, sf_dir, "documents"), window=35)
@@ -109,7 +115,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
-        op1_mixing, op2_quality_votes, op3_token_counts, op5_simhash, op6_bpe, op9_substrings, op10_warc,
+        op1_mixing, op2_quality_votes, op3_token_counts, op5_simhash, op6_bpe, op8_hnsw, op9_substrings, op10_warc,
     ]
     return {f.__name__: f for f in found}
 
