@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hnsw, mixing, quality, simhash, substrings, tokencount, warc
+from . import bpe, hnsw, mixing, quality, simhash, substrings, tokencount, urlfilter, warc
 from .common import fresh_path, n_words, table, written
 
 #: The folder of the public tokenizers' vocabulary files.
@@ -93,6 +93,36 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+#: Production rules of URLs.
+RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every URL of ``pages``."""
+    urls = table(spark, sf_dir, "pages").select("page_id", "url")
+    judged = urlfilter.judge(urls, spark.createDataFrame(RULES, "rule string, verdict string"))
+    return judged.select("row.page_id", "host", "path", "rule", "verdict")
+
+
+OP7_SQL = """
+WITH rest AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
+parts AS (
+  SELECT page_id, regexp_extract(r, '^[^/?#]*') AS h, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+lowered AS (
+  SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM parts),
+rules(rule, rule_host, rule_path, says) AS (
+  VALUES ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'),
+         ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')),
+fits AS (
+  SELECT p.*, rule, says,
+         row_number() OVER (PARTITION BY page_id, host, path ORDER BY length(rule) DESC NULLS LAST, length(rule_host) DESC) AS n
+  FROM lowered p LEFT JOIN rules
+    ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
+SELECT page_id, host, path, rule, coalesce(says, 'allow') AS verdict FROM fits WHERE n = 1
+"""
+
+
 def op8_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of vectors of ``embeddings`` with one label and a cosine of 0.98 or more."""
     found = hnsw.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
@@ -115,10 +145,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
-        op1_mixing, op2_quality_votes, op3_token_counts, op5_simhash, op6_bpe, op8_hnsw, op9_substrings, op10_warc,
+        op1_mixing, op2_quality_votes, op3_token_counts, op5_simhash, op6_bpe, op7_url_filter, op8_hnsw, op9_substrings, op10_warc,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL}
+    return {"op1_mixing": OP1_SQL, "op7_url_filter": OP7_SQL}
