@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hnsw, mixing, quality, simhash, substrings, tokencount, urlfilter, warc
+from . import bpe, hnsw, mixing, quality, secrets, simhash, substrings, tokencount, urlfilter, warc
 from .common import fresh_path, n_words, table, written
 
 #: The folder of the public tokenizers' vocabulary files.
@@ -77,6 +77,19 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets in all texts of ``documents``: place, fingerprint and score, never the secret itself."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    found = secrets.with_findings(docs).select("row.doc_id", F.explode("findings").alias("f")).where("f.score >= 0.5")
+    return found.select(
+        "doc_id",
+        F.col("f.start").cast("long").alias("start"),
+        F.col("f.end").cast("long").alias("end"),
+        F.substring(F.sha2("f.candidate", 256), 1, 12).alias("fingerprint"),
+        F.round("f.score", 6).alias("score"),
+    )
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of ``documents``: 4-word shingles, fingerprints within 4 bits."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=4, max_distance=4)
@@ -145,7 +158,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
-        op1_mixing, op2_quality_votes, op3_token_counts, op5_simhash, op6_bpe, op7_url_filter, op8_hnsw, op9_substrings, op10_warc,
+        op1_mixing, op2_quality_votes, op3_token_counts, op4_secrets, op5_simhash, op6_bpe, op7_url_filter, op8_hnsw, op9_substrings, op10_warc,
     ]
     return {f.__name__: f for f in found}
 
