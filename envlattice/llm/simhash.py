@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations, repeat
@@ -20,7 +21,7 @@ CHUNK = 1 << 16
 
 
 def fingerprint(text: bytes, shingle_words: int, n_words64: int = 1, seed: int = 42) -> list[int]:
-    """``n_words64`` signed 64-bit fingerprints of a text, the j-th from XXH64 with seed + j.
+    """``n_words64`` signed 64-bit fingerprints of a text: of its shingles' XXH64, and of further mixes of that.
 
     A bit is set if it is set in over half of the shingle hashes, repeats included. A text of fewer words than a
     shingle is one shingle; one without words has zeros.
@@ -33,19 +34,34 @@ def fingerprint(text: bytes, shingle_words: int, n_words64: int = 1, seed: int =
         shingles = [b" ".join(words)]
     else:
         shingles = list(map(b" ".join, zip(*(words[i:] for i in range(shingle_words)), strict=False)))
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64, n)
     out = []
     for j in range(n_words64):
-        h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed + j)), np.uint64, n).view(np.uint8)
         counts = np.zeros(64, np.int64)
-        for i in range(0, n * 8, CHUNK * 8):
-            part = h[i : i + CHUNK * 8].reshape(-1, 8)
+        for i in range(0, n, CHUNK):
+            part = mixed(hashes[i : i + CHUNK], j).view(np.uint8).reshape(-1, 8)
             counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         out.append(int(np.packbits(2 * counts > n, bitorder="little").view(np.int64)[0]))
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, n_words64: int = 1) -> DataFrame:
-    """(id long, f0 long, f1 long, ...) for every row; a null text counts as empty."""
+def mixed(hashes: np.ndarray, j: int) -> np.ndarray:
+    """The j-th of any number of independent 64-bit hashes that follow from one; the first is that one."""
+    if not j:
+        return hashes
+    x = hashes + np.uint64(j * 0x9E3779B97F4A7C15 % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprints(
+    docs: DataFrame, id_col: str, text_col: str, shingle_words: int, n_words64: int = 1, content: str | None = None
+) -> DataFrame:
+    """(id long, f0 long, f1 long, ...) for every row; a null text counts as empty.
+
+    ``content`` names a further column, a 64-bit hash of the whole text.
+    """
     names = [f"f{j}" for j in range(n_words64)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,11 +69,14 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle_words: int
             prints = [fingerprint(t or b"", shingle_words, n_words64) for t in batch.column(1).to_pylist()]
             columns = np.array(prints, np.int64).reshape(-1, n_words64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(columns[:, j]) for j in range(n_words64))], ["id", *names]
+                [batch.column(0), *(pa.array(columns[:, j]) for j in range(n_words64)), *batch.columns[2:]], ["id", *names, *more]
             )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "id long, " + ", ".join(f"{n} long" for n in names))
+    more = [content] if content else []
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), *(_content(F.col(text_col)).alias(c) for c in more)
+    )
+    return rows.mapInArrow(run, "id long, " + ", ".join(f"{n} long" for n in [*names, *more]))
 
 
 def segments(max_distance: int, n: int) -> list[tuple[int, int, int]]:
@@ -88,28 +107,82 @@ def _all_bits(a: str, b: str, names: list[str]):
     return reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}.{n}").bitwiseXOR(F.col(f"{b}.{n}"))) for n in names])
 
 
-def links(prints: DataFrame, names: list[str], max_distance: int, plan: list[tuple[int, int, int, int]]) -> DataFrame:
-    """(a, b) pairs, a < b, of rows (id, *names) whose fingerprints differ in at most ``max_distance`` bits in all.
+def expected_distance(similarity: float) -> float:
+    """The share of bits in which texts of a Jaccard similarity of their shingles differ on average: their angle's."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
-    ``plan`` has (word, shift, width, radius): each row is entered once in the table of every segment, and asks it for
-    all values within the radius. A match is verified by the complete distance inside the join, so what leaves the join
-    is links only; ``distinct`` drops those that several segments found.
+
+def wide_plan(similarity: float, n: int) -> tuple[int, int, list[tuple[int, int, int, int]]]:
+    """(words, distance, plan) that find texts of so high a similarity, for about ``n`` fingerprints.
+
+    At a similarity well below 1 too many bits differ for the pigeonhole to help, so the fingerprint is made wider and
+    its segments many, until one of them agrees to within the radius at that similarity nine times in ten; at 0.9 for 0.8
+    it is 998 times in 1000. The distance allows for one standard deviation.
     """
-    key = lambda i, value: (value * len(plan) + i).alias("key")
-    entry = F.array(*(key(i, _field(F.col(names[w]), s, k)) for i, (w, s, k, _) in enumerate(plan)))
+    words = 8
+    cuts, radius = ([0, 16, 32, 48, 64], 0) if n < 1 << 20 else ([0, 21, 42, 64], 1) if n < 1 << 27 else ([0, 32, 64], 2)
+    part = expected_distance(similarity)
+    bits = 64 * words
+    distance = math.floor(bits * part + math.sqrt(bits * part * (1 - part)))
+    plan = [(w, a, b - a, radius) for w in range(words) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return words, distance, plan
+
+
+def _entries(names: list[str], plan: list[tuple[int, int, int, int]], flipped: bool):
+    """Keys under which a fingerprint stands in the tables of all segments, or by which it asks them."""
+
     def ball(i: int, w: int, s: int, k: int, r: int):
         value = _field(F.col(names[w]), s, k)
         flips = F.array(*(F.lit(x).cast("long") for x in _flips(k, r)))
-        return F.transform(flips, lambda x: key(i, value.bitwiseXOR(x)))
+        return F.transform(flips, lambda x: value.bitwiseXOR(x) * len(plan) + i)
 
-    probe = F.flatten(F.array(*(ball(i, *segment) for i, segment in enumerate(plan))))
-    t = prints.select("id", *names, F.explode(entry).alias("key")).alias("t")
-    p = prints.select("id", *names, F.explode(probe).alias("key")).alias("p")
+    if not flipped or not any(r for *_, r in plan):
+        return F.explode(F.array(*(_field(F.col(names[w]), s, k) * len(plan) + i for i, (w, s, k, _) in enumerate(plan))))
+    return F.explode(F.flatten(F.array(*(ball(i, *segment) for i, segment in enumerate(plan)))))
+
+
+def star_links(prints: DataFrame, names: list[str], max_distance: int, plan: list[tuple[int, int, int, int]]) -> DataFrame:
+    """(a, b) links between rows and the smallest id of each table entry they stand under: as many as entries at most."""
+    t = prints.select("id", *names, _entries(names, plan, False).alias("key"))
+    first = t.groupBy("key").agg(F.min(F.struct("id", *names)).alias("s"), F.count("*").alias("n")).where("n > 1")
+    first = first.select("key", "s.*").alias("p")
     near = (F.col("p.id") < F.col("t.id")) & (_all_bits("p", "t", names) <= max_distance)
+    found = t.alias("t").join(first, (F.col("p.key") == F.col("t.key")) & near)
+    return found.select(F.col("p.id").alias("a"), F.col("t.id").alias("b")).distinct()
+
+
+def links(prints: DataFrame, names: list[str], max_distance: int, plan: list[tuple[int, int, int, int]]) -> DataFrame:
+    """(a, b) pairs, a < b, of rows (id, *names) whose fingerprints differ in at most ``max_distance`` bits in all.
+
+    ``plan`` has (word, shift, width, radius): each row is entered once in the table of every segment, and asks it for
+    all values within the radius. A match is verified by the complete distance inside the join, so what leaves the join
+    is links only; ``distinct`` drops those that several segments found. Rows with a column ``group`` are only linked
+    with rows of other groups.
+    """
+    more = [c for c in prints.columns if c == "group"]
+    t = prints.select("id", *more, *names, _entries(names, plan, False).alias("key")).alias("t")
+    p = prints.select("id", *more, *names, _entries(names, plan, True).alias("key")).alias("p")
+    near = (F.col("p.id") < F.col("t.id")) & (_all_bits("p", "t", names) <= max_distance)
+    for c in more:
+        near = (F.col(f"p.{c}") != F.col(f"t.{c}")) & near
     found = p.join(t, (F.col("p.key") == F.col("t.key")) & near)
     return found.select(F.col("p.id").alias("a"), F.col("t.id").alias("b")).distinct()
 
 
+def groups(prints: DataFrame, names: list[str], max_distance: int, plan: list[tuple[int, int, int, int]]) -> DataFrame:
+    """(id, component) of the rows that link with any: the classes that all links together make.
+
+    First every row is linked with the smallest of each table entry, which joins groups of near copies by as many links as
+    they have rows. Then rows are compared with all others of an entry, but links are given out only between what is
+    not joined yet, so that no group's pairs are ever listed and yet no link between two groups is lost.
+    """
+    stars = written(star_links(prints, names, max_distance, plan), "stars")
+    joined = components(stars).withColumnsRenamed({"node": "id", "component": "group"})
+    grouped = prints.join(joined, "id", "left").withColumn("group", F.coalesce("group", "id"))
+    rest = links(written(grouped, "grouped"), names, max_distance, plan)
+    return components(stars.unionAll(rest)).withColumnRenamed("node", "id")
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -118,6 +191,7 @@ def near_duplicates(
     max_distance: int = 4,
     n_words64: int = 1,
     plan: list[tuple[int, int, int, int]] | None = None,
+    content: str | None = None,
 ) -> DataFrame:
     """(id, f0.., component) for every row of ``docs``: fingerprints, and the smallest id linked to the row's.
 
@@ -127,15 +201,40 @@ def near_duplicates(
     """
     spark = docs.sparkSession
     names = [f"f{j}" for j in range(n_words64)]
-    prints = written(fingerprints(docs, id_col, text_col, shingle_words, n_words64), "fingerprints")
+    more = [content] if content else []
+    prints = written(fingerprints(docs, id_col, text_col, shingle_words, n_words64, content), "fingerprints")
     if prints.isEmpty():
         return prints.withColumn("component", F.col("id"))
     distinct = written(prints.groupBy(*names).agg(F.min("id").alias("id")), "distinct")
     if plan is None:
         plan = [(0, *x) for x in segments(max_distance, distinct.count())]
-    linked = written(components(links(distinct.where("id is not null"), names, max_distance, plan)), "components")
-    groups = (
-        distinct.join(linked.withColumnRenamed("node", "id"), "id", "left")
-        .select(*names, F.coalesce("component", "id").alias("component"))
-    )
-    return prints.join(groups, names).select("id", *names, "component")
+    linked = written(groups(distinct.where("id is not null"), names, max_distance, plan), "components")
+    named = distinct.join(linked, "id", "left").select(*names, F.coalesce("component", "id").alias("component"))
+    return prints.join(named, names).select("id", *names, *more, "component")
+
+
+def deduplicate(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8
+) -> DataFrame:
+    """The rows of ``docs`` that are the first of their group of near copies, with all columns.
+
+    Near copies have a Jaccard similarity of their word shingles of about ``similarity`` or more, as estimated from wide
+    fingerprints; a group is what they connect. The row of the smallest id stays, and once only if it is repeated. Rows
+    that share an id are one document. Rows without an id go if they are exact copies by fingerprint of others, and else
+    stay. Null and empty texts are copies of each other.
+    """
+    n = docs.count()
+    words, distance, plan = wide_plan(similarity, n)
+    found = near_duplicates(docs, id_col, text_col, shingle_words, distance, words, plan, content="content")
+    firsts = found.where(F.col("id").eqNullSafe(F.col("component")))
+    alone = F.when(F.col("component").isNull(), F.xxhash64(*(f"f{j}" for j in range(words))))
+    firsts = firsts.groupBy("component", alone.alias("alone")).agg(F.min("content").alias("content"))
+    key = lambda id_: F.coalesce(id_.cast("long"), F.lit(-(2**63)))
+    wanted = firsts.select(key(F.col("component")).alias("key"), "content").distinct()
+    rows = docs.select(F.struct("*").alias("row"), key(F.col(id_col)).alias("key"), _content(F.col(text_col)).alias("content"))
+    kept = rows.join(wanted, ["key", "content"], "left_semi").dropDuplicates(["key", "content"])
+    return kept.select("row.*")
+
+
+def _content(text):
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))

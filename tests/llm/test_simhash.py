@@ -100,3 +100,57 @@ def test_components(spark):
     found = components(spark.createDataFrame(edges, "a long, b long"))
     assert {r.node: r.component for r in found.collect()} == want
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def edited(words, rate, rng):
+    return [f"new{rng.integers(10**9)}" if rng.random() < rate else w for w in words]
+
+
+def jaccard(a, b, k=5):
+    x, y = ({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} for w in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_deduplicate(spark):
+    rng = np.random.default_rng(5)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    rows, groups_of, n = [], [], 0
+    for g in range(60):
+        base = list(rng.choice(vocabulary, 300))
+        copies = [base, *(edited(base, 0.01, rng) for _ in range(4 if g else 150))]
+        groups_of.append([])
+        for words in copies:
+            groups_of[-1].append((n, words))
+            rows.append((n, " ".join(words), "s"))
+            n += 1
+    rng.shuffle(rows)
+    docs = spark.createDataFrame([(int(i), t, s, 1) for i, t, s in rows], "doc_id long, text string, f0 string, content int")
+    out = simhash.deduplicate(docs)
+    assert out.columns == docs.columns
+    kept = {r.doc_id for r in out.collect()}
+    assert all(g[0][0] in kept for g in groups_of)  # nothing goes without a smaller copy that stays
+    near = [(i, words, g[0][1]) for g in groups_of for i, words in g[1:]]
+    sure = [i for i, words, base in near if jaccard(words, base) >= 0.85]
+    assert len(sure) > 200 and sum(i in kept for i in sure) <= 0.02 * len(sure)
+
+
+def test_deduplicate_leaves_unlike_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text.encode().lower().split() for r in docs.collect()}
+    kept = {r.doc_id for r in simhash.deduplicate(docs).collect()}
+    gone = set(texts) - kept
+    assert gone
+    for i in gone:
+        assert any(texts[i] == texts[k] or len(texts[i]) > 4 and jaccard(texts[i], texts[k]) > 0.5 for k in kept | gone if k < i), i
+    exact = {}
+    for i in sorted(texts):
+        exact.setdefault(tuple(texts[i]), i)
+    assert all(exact[tuple(texts[i])] == i for i in kept)
+
+
+def test_deduplicate_odd_rows(spark):
+    rows = [(1, "a b c"), (1, "a b c"), (2, "a b c"), (None, "a b c"), (None, "z y"), (None, "z y"), (3, None), (4, ""), (5, "q"), (5, "r s t u v w x y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted(((r.doc_id or 0, r.text or "") for r in simhash.deduplicate(docs).collect()))
+    assert found[:3] == [(0, "z y"), (1, "a b c"), (3, "")] and [i for i, _ in found[3:]] == [5]
+    assert simhash.deduplicate(docs.limit(0)).count() == 0
