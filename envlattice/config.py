@@ -16,7 +16,7 @@ KINDS = ["dev", "test", "production", "local", "example", "template", "unknown"]
 
 @dataclass(frozen=True)
 class Config:
-    include: tuple[str, ...] = ("**/*",)
+    include: tuple[str, ...] = ()
     exclude: tuple[str, ...] = ()
     env_files: tuple[str, ...] = ()
     example_files: tuple[str, ...] = tuple(lists.EXAMPLE_FILES)
@@ -31,7 +31,7 @@ class Config:
     secret_name_pattern: str = lists.SECRET_NAME
     max_file_size_bytes: int = 64 * 1024
     #: Reserved, as are ci_environment_kinds and code_frame_lines: read and kept, without effect.
-    max_line_length: int = 2048
+    max_line_length: int = 2000
     ci_environment_kinds: dict[str, str] = field(default_factory=lambda: dict(lists.CI_ENVIRONMENT_KINDS))
     fail_on: str = "error"
     code_frame_lines: int = 2
@@ -150,13 +150,13 @@ def resolve(raw: dict, where: str = "config", base: Config | None = None) -> Con
     kb = r.number("maxFileSizeKb")
     return replace(
         base,
-        include=tuple(r.strings("include") or base.include),
+        include=added("include", base.include),
         exclude=added("exclude", base.exclude),
         env_files=added("envFiles", base.env_files),
         example_files=added("exampleFiles", base.example_files),
         ignore_rules=base.ignore_rules | set(rules),
         ignore_variables=added("ignoreVariables", base.ignore_variables),
-        ignore_fingerprints=base.ignore_fingerprints | set(r.strings("ignoreFingerprints") or []),
+        ignore_fingerprints=base.ignore_fingerprints | {v.lower() for v in r.strings("ignoreFingerprints") or []},
         severities=severities,
         weak_values=tuple(dict.fromkeys((*base.weak_values, *(v.lower() for v in r.strings("weakValues") or [])))),
         hostile_names=added("hostileNames", base.hostile_names),
