@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from envlattice.plans import rules
+from envlattice.plans import inventory, rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return dict(rules.QUERIES)
+    return rules.QUERIES | inventory.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(rules.ORACLES)
+    return rules.ORACLES | inventory.ORACLES
