@@ -34,6 +34,8 @@ PATTERNS = [
     ("connection-string-password", "Connection string with a password", r"(?:postgres(?:ql)?|mysql|mariadb|mongodb(?:\+srv)?|rediss?|amqps?|mssql)://[^\s:/@]*:[^\s@/]{3,}@"),
     ("basic-auth-url", "URL with a password", r"(?:https?|ftp)://[^\s:/@]+:[^\s:@/]{3,}@"),
 ]
+#: No shape above matches fewer letters.
+SHORTEST = 8
 CONNECTION_IDS = ["connection-string-password", "basic-auth-url"]
 #: A value behind a secret-looking name counts as machine-made from so many characters and bits a character on.
 ENTROPY_LENGTH, ENTROPY_BITS = 20, 3.5

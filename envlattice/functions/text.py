@@ -125,9 +125,12 @@ def is_placeholder_value(value: Column, weak: list[str]) -> Column:
 
 
 def credential_matches(value: Column, patterns: list[tuple[str, str, str]]) -> Column:
-    """(id, name) of every credential shape found in a value."""
+    """(id, name) of every credential shape found in a value. No built-in shape is shorter than eight letters."""
     each = (F.when(value.rlike(p), F.struct(F.lit(i).alias("id"), F.lit(n).alias("name"))) for i, n, p in patterns)
-    return F.array_compact(F.array(*each))
+    found = F.array_compact(F.array(*each))
+    if [tuple(p) for p in patterns] != credentials.PATTERNS:
+        return found
+    return F.when(F.length(value) >= credentials.SHORTEST, found).otherwise(F.array().cast("array<struct<id:string,name:string>>"))
 
 
 def is_machine_made(value: Column, secretish: Column) -> Column:

@@ -24,12 +24,25 @@ def is_sensitive(name: Column, value: Column, config: Config) -> Column:
     return text.is_secretish(name, config.secret_name_pattern) | ((text.utf16_length(value) >= SENSITIVE_LENGTH) & shaped)
 
 
+def hidden() -> Column:
+    """The same of a row's own value, where its shapes are known already."""
+    return F.col("secretish") | ((text.utf16_length(F.col("value")) >= SENSITIVE_LENGTH) & (F.size("matched") > 0))
+
+
+def examined(decls: DataFrame, config: Config) -> DataFrame:
+    """Declarations with ``classes``, the special letters of a value, and ``shown``, what may be printed of it."""
+    name, value = F.col("name"), F.col("value")
+    if "matched" not in decls.columns:
+        shapes = text.credential_matches(value, list(config.secret_patterns))
+        decls = decls.withColumns({"matched": shapes, "secretish": text.is_secretish(name, config.secret_name_pattern)})
+    return decls.withColumns({"classes": text.special_classes(value), "shown": text.preview(value, hidden(), PREVIEW)})
+
+
 def row_rules(config: Config) -> list[RowRule]:
-    """The rules that need a declaration's row only."""
-    name, file, value = F.col("name"), F.col("file"), F.col("value")
+    """The rules that need an examined declaration's row only."""
+    name, file = F.col("name"), F.col("file")
     wanted = ~ignored(config)
-    classes = text.special_classes(value)
-    shown = text.preview(value, is_sensitive(name, value, config), PREVIEW)
+    classes, shown = F.col("classes"), F.col("shown")
     return [
         RowRule(
             "duplicate-key",
@@ -73,7 +86,7 @@ def row_rules(config: Config) -> list[RowRule]:
 
 def _row_rule(index: int):
     def run(rel: Relations, config: Config) -> DataFrame:
-        return row_rules(config)[index].run(rel.decls)
+        return row_rules(config)[index].run(examined(rel.decls, config))
 
     return run
 
@@ -94,18 +107,21 @@ def conflicting_values(rel: Relations, config: Config) -> DataFrame:
     )
     facts = facts.where("v0 <> v1 and f0 <> f1").select("name", "first")
     later = decls.join(facts, "name").where(place > F.col("first"))
+    return later.select(*conflicting_values_columns(config))
+
+
+def conflicting_values_columns(config: Config):
+    """Over declarations with ``first``, the place and value of the name's first."""
     name, first = F.col("name"), F.col("first.value")
-    hidden = is_sensitive(name, first, config) | is_sensitive(name, F.col("value"), config)
+    secret = is_sensitive(name, first, config) | is_sensitive(name, F.col("value"), config)
     shown = lambda v: text.preview(v, F.lit(False), PREVIEW)
     message = F.when(
-        hidden, say(name, " has different secret values in ", F.col("first.file"), " and ", F.col("file"))
+        secret, say(name, " has different secret values in ", F.col("first.file"), " and ", F.col("file"))
     ).otherwise(
         say(name, " is ", shown(F.col("value")), " in ", F.col("file"), ", but ", shown(first), " in ", F.col("first.file"))
     )
-    digest = F.when(hidden, text.fingerprint(F.col("value")))
-    return later.select(
-        *row("conflicting-values", message, "make the values agree, or name files by environment", fingerprint=digest)
-    )
+    digest = F.when(secret, text.fingerprint(F.col("value")))
+    return row("conflicting-values", message, "make the values agree, or name files by environment", fingerprint=digest)
 
 
 def unterminated_quote(rel: Relations, config: Config) -> DataFrame:
@@ -124,8 +140,14 @@ def unterminated_quote(rel: Relations, config: Config) -> DataFrame:
 def expansion_unsupported(rel: Relations, config: Config) -> DataFrame:
     """First real declarations of a name in a file that refer to other variables in a file that others load."""
     first = first_per(known(rel.decls.where(~is_sample()), config), ["name", "file"], ["line", "column"])
-    local = F.col("dev_only") | text.base_name(F.col("file")).endswith(".local")
-    found = first.where(F.col("shared") & (F.size("references") > 0) & ~local)
+    return first.where(F.col("shared") & (F.size("references") > 0) & ~is_local()).select(*expansion_unsupported_columns())
+
+
+def is_local() -> Column:
+    return F.col("dev_only") | text.base_name(F.col("file")).endswith(".local")
+
+
+def expansion_unsupported_columns():
     refs = F.array_join(F.transform("references", lambda r: F.concat(F.lit("${"), r, F.lit("}"))), ", ")
     message = say(F.col("name"), " refers to ", refs, " in ", F.col("file"), ", which many loaders do not expand")
-    return found.select(*row("expansion-unsupported", message, "write the value out"))
+    return row("expansion-unsupported", message, "write the value out")

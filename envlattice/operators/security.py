@@ -22,7 +22,7 @@ def _first_decls(rel: Relations, config: Config) -> DataFrame:
     return first_per(known(rel.decls, config), ["file", "name"], ["line", "column"])
 
 
-def _listed(names: tuple[str, ...]) -> Column:
+def listed(names: tuple[str, ...]) -> Column:
     return F.upper("name").isin(sorted({n.upper() for n in names}))
 
 
@@ -31,86 +31,121 @@ def invalid_name(rel: Relations, config: Config) -> DataFrame:
     at = ["name", *PLACE]
     sites = rel.decls.select(*at).unionAll(_undeclared(rel).select(*at))
     first = first_per(known(sites, config), ["file", "name"], ["line", "column"])
+    return first.where(is_invalid()).select(*invalid_name_columns())
+
+
+def is_invalid() -> Column:
+    return text.name_defect(F.col("name")).isNotNull() | ~text.is_upper_snake(F.col("name"))
+
+
+def invalid_name_columns():
     name, defect = F.col("name"), text.name_defect(F.col("name"))
-    found = first.where(defect.isNotNull() | ~text.is_upper_snake(name))
     message = F.when(defect.isNotNull(), say('"', name, '" is no identifier: ', defect)).otherwise(
         say('"', name, '" is not in capitals, digits and underscores, so shells cannot use it everywhere')
     )
     hint = F.when(defect.isNotNull(), "rename it").otherwise(say("rename it to ", text.upper_snake(name)))
-    return found.select(*row("invalid-name", message, hint))
+    return row("invalid-name", message, hint)
+
+
+def reserved_name_columns():
+    message = say('"', F.col("name"), '" belongs to the system or its tools')
+    return row("reserved-name", message, say("use a name such as APP_", F.col("name")))
 
 
 def reserved_name(rel: Relations, config: Config) -> DataFrame:
     """Declarations of names that the system or its tools own."""
-    found = _first_decls(rel, config).where(_listed(config.reserved_names))
-    message = say('"', F.col("name"), '" belongs to the system or its tools')
-    return found.select(*row("reserved-name", message, say("use a name such as APP_", F.col("name"))))
+    return _first_decls(rel, config).where(listed(config.reserved_names)).select(*reserved_name_columns())
 
 
-def hostile_name(rel: Relations, config: Config) -> DataFrame:
-    """Names that loaders, shells and interpreters act on: declared, or read without being declared."""
-    declared = _first_decls(rel, config).where(_listed(config.hostile_names))
+def hostile_declared_columns():
     severity = F.when(F.col("shared") | ~F.col("dev_only"), "error").otherwise("warn")
     scope = F.when(F.col("shared"), "others load the file").otherwise("the file is a developer's own")
     message = say('"', F.col("name"), '" changes what every process started with it runs; ', scope)
-    out = declared.select(*row("hostile-name", message, "remove it", severity))
-    reads = first_per(known(_undeclared(rel), config), ["file", "name"], ["line", "column"]).where(_listed(config.hostile_names))
+    return row("hostile-name", message, "remove it", severity)
+
+
+def hostile_read_columns():
     message = say('"', F.col("name"), '" is read, but never declared: whoever sets the environment decides it')
-    return out.unionAll(reads.select(*row("hostile-name", message, "declare it, or drop the read", "info")))
+    return row("hostile-name", message, "declare it, or drop the read", "info")
 
 
-def shell_incompatible_name(rel: Relations, config: Config) -> DataFrame:
-    """Identifiers that are too long for some systems."""
-    found = _first_decls(rel, config).where(text.is_env_name(F.col("name")) & (F.length("name") > NAME_LIMIT))
-    message = say('"', F.col("name"), '" has ', F.length("name").cast("string"), f" letters; {NAME_LIMIT} are portable")
-    return found.select(*row("shell-incompatible-name", message, "shorten it"))
+def hostile_name(rel: Relations, config: Config) -> DataFrame:
+    """Names that loaders, shells and interpreters act on: declared, or read without being declared."""
+    declared = _first_decls(rel, config).where(listed(config.hostile_names)).select(*hostile_declared_columns())
+    reads = first_per(known(_undeclared(rel), config), ["file", "name"], ["line", "column"])
+    return declared.unionAll(reads.where(listed(config.hostile_names)).select(*hostile_read_columns()))
 
 
-def matched_ids(value: Column, config: Config) -> Column:
-    return text.credential_matches(value, list(config.secret_patterns))
+def is_too_long() -> Column:
+    return text.is_env_name(F.col("name")) & (F.length("name") > NAME_LIMIT)
 
 
-def detected(value: Column, name: Column, config: Config) -> Column:
-    """Whether a value is taken for a credential: by shape, or by entropy behind a secret-looking name."""
-    secretish = text.is_secretish(name, config.secret_name_pattern)
-    made = text.is_machine_made(value, secretish)
-    placeholder = text.is_placeholder_value(value, list(config.weak_values)) | text.is_placeholder_url(value)
-    return (F.size(matched_ids(value, config)) > 0) | (made & ~placeholder)
+def shell_incompatible_name_columns():
+    message = say('"', F.col("name"), '" has ', F.length("name").cast("string"), f" letters; {NAME_LIMIT} are portable")
+    return row("shell-incompatible-name", message, "shorten it")
 
 
-def summary(value: Column, config: Config) -> Column:
-    """What was detected, without the value."""
-    names = F.array_sort(F.array_distinct(F.transform(matched_ids(value, config), lambda m: m["name"])))
-    return F.when(F.size(names) == 0, "looks machine-made").otherwise(say("looks like: ", F.array_join(names, ", ")))
+def shell_incompatible_name(rel: Relations, config: Config) -> DataFrame:
+    """Identifiers that are too long for some systems."""
+    return _first_decls(rel, config).where(is_too_long()).select(*shell_incompatible_name_columns())
+
+
+def inspected(df: DataFrame, value: Column, name: Column, config: Config) -> DataFrame:
+    """Adds what several rules ask of a value, each worked out once a row.
+
+    ``matched``: credential shapes; ``secretish``: of the name; ``digest``; ``plain``: trimmed, in small letters;
+    ``password``: of its URL; ``placeholder``: a value or a URL's password that is no real one; ``found``: whether the
+    value is taken for a credential, by shape, or by entropy behind a secret-looking name.
+    """
+    patterns, weak = list(config.secret_patterns), list(config.weak_values)
+    df = df.withColumns(
+        {
+            "matched": text.credential_matches(value, patterns),
+            "secretish": text.is_secretish(name, config.secret_name_pattern),
+            "digest": text.fingerprint(value),
+            "plain": F.lower(text.trimmed(value)),
+            "password": text.url_password(value),
+        }
+    )
+    plain = F.col("plain")
+    df = df.withColumns(
+        {
+            "placeholder_value": (plain == "") | plain.isin(weak) | plain.rlike(lists.PLACEHOLDER_VALUE),
+            "placeholder_url": F.coalesce(text.is_placeholder_password(F.col("password")), F.lit(False)),
+        }
+    )
+    df = df.withColumn("placeholder", F.col("placeholder_value") | F.col("placeholder_url"))
+    made = text.is_machine_made(value, F.col("secretish")) & ~F.col("placeholder")
+    ignored_ = F.col("digest").isin(sorted(config.ignore_fingerprints)) if config.ignore_fingerprints else F.lit(False)
+    return df.withColumns({"found": (F.size("matched") > 0) | made, "reported": ~ignored_})
+
 
+def summary() -> Column:
+    """What was detected in an inspected row, without the value."""
+    names = F.array_sort(F.array_distinct(F.transform("matched", lambda m: m["name"])))
+    return F.when(F.size("matched") == 0, "looks machine-made").otherwise(say("looks like: ", F.array_join(names, ", ")))
 
-def _reported(value: Column, config: Config) -> Column:
-    """Not among the fingerprints that the configuration ignores."""
-    return ~text.fingerprint(value).isin(sorted(config.ignore_fingerprints)) if config.ignore_fingerprints else F.lit(True)
+
+def examined(rel: Relations, config: Config) -> DataFrame:
+    """Judged and inspected declarations: what the row rules run on."""
+    return inspected(judged(rel, config), F.col("value"), F.col("name"), config)
 
 
 def row_rules(config: Config) -> list[RowRule]:
-    """The rules that need a judged declaration's row only."""
+    """The rules that need an examined declaration's row only."""
     name, file, value = F.col("name"), F.col("file"), F.col("value")
     wanted, sample = ~ignored(config), F.col("kind").isin(SAMPLE_KINDS)
-    secretish = text.is_secretish(name, config.secret_name_pattern)
-    plain, digest = F.lower(text.trimmed(value)), text.fingerprint(value)
+    plain, digest, password = F.col("plain"), F.col("digest"), F.col("password")
     long_ = text.utf16_length(value) >= SECRET_LENGTH
-    weak = list(config.weak_values)
-    reason = (
-        F.when(plain == "", "it is empty").when(plain.isin(weak), "it is a known weak value").otherwise("it looks like a placeholder")
-    )
-    connection = F.exists(matched_ids(value, config), lambda m: m["id"].isin(credentials.CONNECTION_IDS))
-    password = text.url_password(value)
-    real_password = F.coalesce(
-        (text.utf16_length(password) >= PASSWORD_LENGTH) & ~text.is_placeholder_password(password), F.lit(False)
-    )
-    found = detected(value, name, config) & _reported(value, config)
-    told = summary(value, config)
+    listed = plain.isin(list(config.weak_values))
+    reason = F.when(plain == "", "it is empty").when(listed, "it is a known weak value").otherwise("it looks like a placeholder")
+    connection = F.exists("matched", lambda m: m["id"].isin(credentials.CONNECTION_IDS))
+    real_password = F.coalesce((text.utf16_length(password) >= PASSWORD_LENGTH) & ~F.col("placeholder_url"), F.lit(False))
+    found = F.col("found") & F.col("reported")
     return [
         RowRule(
             "weak-secret",
-            wanted & ~sample & secretish & text.is_placeholder_value(value, weak),
+            wanted & ~sample & F.col("secretish") & F.col("placeholder_value"),
             row("weak-secret", say(name, " in ", file, " is no real secret: ", reason), "generate the value", fingerprint=digest),
         ),
         RowRule(
@@ -118,7 +153,7 @@ def row_rules(config: Config) -> list[RowRule]:
             wanted & ~sample & long_ & found,
             row(
                 "secret-in-repo",
-                say("the value of ", name, " in ", file, " ", told, " (", digest, ")"),
+                say("the value of ", name, " in ", file, " ", summary(), " (", digest, ")"),
                 "rotate it, and inject it when deploying",
                 F.when(F.col("committed"), "error").otherwise("warn"),
                 fingerprint=digest,
@@ -126,10 +161,10 @@ def row_rules(config: Config) -> list[RowRule]:
         ),
         RowRule(
             "secret-in-example",
-            wanted & sample & long_ & ~text.is_placeholder_url(value) & ~text.is_placeholder_value(value, weak) & found,
+            wanted & sample & long_ & ~F.col("placeholder") & found,
             row(
                 "secret-in-example",
-                say("the example ", file, " has a real value for ", name, ": it ", told, " (", digest, ")"),
+                say("the example ", file, " has a real value for ", name, ": it ", summary(), " (", digest, ")"),
                 "put a placeholder there, and rotate the credential",
                 fingerprint=digest,
             ),
@@ -146,7 +181,7 @@ def row_rules(config: Config) -> list[RowRule]:
         ),
         RowRule(
             "hardcoded-connection-string",
-            wanted & (sample | ~secretish) & connection & real_password & _reported(value, config),
+            wanted & (sample | ~F.col("secretish")) & connection & real_password & F.col("reported"),
             row(
                 "hardcoded-connection-string",
                 say(name, " in ", file, " has a password in its connection string (", digest, ")"),
@@ -159,7 +194,7 @@ def row_rules(config: Config) -> list[RowRule]:
 
 def _row_rule(index: int):
     def run(rel: Relations, config: Config) -> DataFrame:
-        return row_rules(config)[index].run(judged(rel, config))
+        return row_rules(config)[index].run(examined(rel, config))
 
     return run
 
@@ -172,7 +207,6 @@ def secret_fallback_literal(rel: Relations, config: Config) -> DataFrame:
     literal, name = F.col("fallback_literal"), F.col("name")
     reads = known(rel.usages.where("fallback_literal is not null and fallback_literal <> ''"), config)
     reads = reads.where(text.is_secretish(name, config.secret_name_pattern))
-    found = reads.where(detected(literal, name, config) & _reported(literal, config))
-    digest = text.fingerprint(literal)
-    message = say(name, " is read in ", F.col("file"), " with a default that ", summary(literal, config), " (", digest, ")")
-    return found.select(*row("secret-fallback-literal", message, "drop the default", fingerprint=digest))
+    seen = inspected(reads, literal, name, config).where("found and reported")
+    message = say(name, " is read in ", F.col("file"), " with a default that ", summary(), " (", F.col("digest"), ")")
+    return seen.select(*row("secret-fallback-literal", message, "drop the default", fingerprint=F.col("digest")))

@@ -211,7 +211,7 @@ def query_name(rule: str) -> str:
 
 
 def all_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings.findings(testdata.relations(spark, sf_dir), Config())
+    return findings.findings(testdata.relations(spark, sf_dir).cached(), Config())
 
 
 def findings_query(spark: SparkSession, sf_dir: str) -> DataFrame:
