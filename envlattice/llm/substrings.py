@@ -290,17 +290,18 @@ def spans(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: s
     every = written(
         kept.mapInArrow(_segments_of(window), "anchor long, content long, row long, place long"), "segments"
     )
-    again = every.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
-    wanted = written(every.join(again, "anchor", "left_semi"), "wanted")
+    # the join's key is not the one that was counted by, so both sides are dealt for it and Spark can split a hot anchor
+    again = every.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select(F.bitwise_not("anchor").alias("not_anchor"))
+    wanted = written(every.join(again, F.bitwise_not("anchor") == F.col("not_anchor"), "left_semi"), "wanted")
     forget(every)
     distinct = wanted.groupBy("anchor", "content").agg(
         F.count("*").alias("n"), F.min(F.struct("row", "place")).alias("at")
     )
     distinct = written(distinct.select("anchor", "content", "n", "at.row", "at.place"), "distinct")
     hot = distinct.groupBy("anchor").agg(F.count("*").alias("k")).where(F.col("k") > HOT_ANCHOR)
-    hot = hot.select("anchor", F.lit(True).alias("hot"))
+    hot = hot.select(F.bitwise_not("anchor").alias("not_anchor"), F.lit(True).alias("hot"))
     lists = (
-        distinct.join(hot, "anchor", "left")
+        distinct.join(hot, F.bitwise_not("anchor") == F.col("not_anchor"), "left")
         .groupBy("row")
         .agg(F.collect_list(F.struct("anchor", "content", "n", "place", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("wanted"))
     )
