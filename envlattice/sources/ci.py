@@ -6,7 +6,6 @@ import re
 from dataclasses import dataclass, field
 
 from envlattice.sources import yamlish
-from envlattice.sources.positions import units
 from envlattice.sources.references import braced
 from envlattice.sources.yamlish import DEPTH, Line, unquote
 
@@ -83,7 +82,7 @@ class _Scan:
 
     def add(self, name: str, line: Line, offset: int, kind: str, required: bool, used: bool) -> None:
         self.out.append({
-            "name": name, "file": self.path, "line": line.number, "column": units(line.text[:offset]) + 1, "kind": kind,
+            "name": name, "file": self.path, "line": line.number, "column": line.columns.at(offset), "kind": kind,
             "required": required, "refers_to_file": False, "interpolation": used,
         })
 

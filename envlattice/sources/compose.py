@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 
 from envlattice.sources import yamlish
-from envlattice.sources.positions import units
 from envlattice.sources.references import interpolations
 from envlattice.sources.yamlish import Line, unquote
 
@@ -23,7 +22,7 @@ class _Scan:
 
     def add(self, name: str, line: Line, offset: int, kind: str, required: bool, to_file: bool = False, used: bool = False) -> None:
         self.out.append({
-            "name": name, "file": self.path, "line": line.number, "column": units(line.text[:offset]) + 1, "kind": kind,
+            "name": name, "file": self.path, "line": line.number, "column": line.columns.at(offset), "kind": kind,
             "required": required, "refers_to_file": to_file, "interpolation": used,
         })
 

@@ -2,27 +2,34 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
+import re
+from bisect import bisect_left, bisect_right
+
+_ASTRAL = re.compile("[\U00010000-\U0010ffff]")
+
+
+class Columns:
+    """Columns of offsets of a text, each in logarithmic time."""
+
+    def __init__(self, text: str):
+        self.wide = [] if text.isascii() else [m.start() for m in _ASTRAL.finditer(text)]
+
+    def at(self, offset: int) -> int:
+        return offset + bisect_left(self.wide, offset) + 1
 
 
 def units(text: str) -> int:
     """Length in UTF-16 units."""
-    return len(text) if text.isascii() else len(text.encode("utf-16-le", "surrogatepass")) // 2
+    return Columns(text).at(len(text)) - 1
 
 
 class Positions:
     """(line, column) of offsets of a text; lines end at line feeds."""
 
     def __init__(self, text: str):
-        self.text = text
-        self.starts = [0]
-        at = text.find("\n")
-        while at >= 0:
-            self.starts.append(at + 1)
-            at = text.find("\n", at + 1)
-        self.plain = text.isascii()
+        self.starts = [0, *(m.end() for m in re.finditer("\n", text))]
+        self.columns = Columns(text)
 
     def at(self, offset: int) -> tuple[int, int]:
         line = bisect_right(self.starts, offset)
-        start = self.starts[line - 1]
-        return line, (offset - start if self.plain else units(self.text[start:offset])) + 1
+        return line, self.columns.at(offset) - self.columns.at(self.starts[line - 1]) + 1

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import cached_property
+
+from envlattice.sources.positions import Columns
 
 _QUOTED = r"""(?:^|(?<=[ \t=:,\[{(]))(?:"(?:\\.|[^"\\])*(?:"|\\?$)|'(?:''|[^'])*(?:'|$))"""
 _COMMENT = re.compile(rf"{_QUOTED}|(?P<mark>(?:^|(?<=[ \t]))#)", re.S)
@@ -45,6 +48,10 @@ class Line:
     mapped: bool = False
     children: list[Line] = field(default_factory=list)
 
+    @cached_property
+    def columns(self) -> Columns:
+        return Columns(self.text)
+
     @property
     def comment(self) -> bool:
         return self.content.startswith("#")

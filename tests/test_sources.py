@@ -235,3 +235,31 @@ def test_many_reads_in_a_file():
     began = time.time()
     assert len(accessors.scan("f.ts", text, "typescript")) == 50_000
     assert time.time() - began < 6
+
+
+@pytest.mark.parametrize(
+    ("read", "line"),
+    [
+        (lambda t: compose.scan("compose.yml", t), lambda n: "a: " + " ".join(f"${{V{i}:-x}}" for i in range(n))),
+        (lambda t: dockerfile.scan("Dockerfile", t), lambda n: "RUN " + " ".join(f"${{V{i}}} $W{i}" for i in range(n // 2))),
+        (lambda t: dockerfile.scan("Dockerfile", t), lambda n: "RUN " + " \\\n".join(f"$W{i}" for i in range(n))),
+        (lambda t: ci.scan(".gitlab-ci.yml", t), lambda n: "a:\n  script:\n  - é🙂 " + " ".join(f"$W{i}" for i in range(n))),
+        (lambda t: dotenv.parse(".env", t).decls, lambda n: "\n".join(f"V{i % 5}=🙂${i}" for i in range(n))),
+        (lambda t: accessors.scan("f", t, "shell"), lambda n: " ".join(f"$WW{i}" for i in range(n))),
+    ],
+)
+def test_eight_times_the_input_takes_no_more_than_fifteen_times_the_time(read, line):
+    def took(n):
+        text, best = line(n), 1e9
+        for _ in range(2):
+            began = time.perf_counter()
+            assert len(read(text)) == n
+            best = min(best, time.perf_counter() - began)
+        return best
+
+    assert took(64_000) <= 15 * took(8_000) + 0.25
+
+
+def test_positions_of_wide_letters():
+    assert [r["column"] for r in dockerfile.scan("Dockerfile", "RUN 🙂 $A \\\n  é $B")] == [9, 6]
+    assert [r["column"] for r in compose.scan("compose.yml", "a: 🙂 ${B}")] == [7]
