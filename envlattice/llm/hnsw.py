@@ -234,7 +234,7 @@ def near_duplicates(
     other rows of cosine ``threshold`` or more that were found, ``component`` is the smallest id that links lead to, and
     a row is kept if that is its own. Null labels, and vectors that are null, empty, zero or hold null or non-finite
     components, link with nothing. Rows of a null id take part, but give no component its name; a row that occurs
-    again links with itself.
+    again links with itself. Different vectors under one id count as one node of the graph of links.
     """
     spark = vectors.sparkSession
     parts = F.col(vector_col).cast("array<double>")
