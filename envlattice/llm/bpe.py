@@ -15,8 +15,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Encoded pieces that a Python worker remembers; beyond that it forgets them all and starts again.
-REMEMBERED = 1 << 20
+#: Encoded pieces of a generation; a Python worker remembers two. Frequent pieces move on to the new one, others go.
+REMEMBERED = 1 << 18
 
 # The pattern by which byte-level vocabularies of this kind cut text into pieces, and the code points that
 # this regex library takes for letters or numbers and the tokenizer library, of an earlier Unicode version, does not.
@@ -77,7 +77,7 @@ class Bpe:
         longest_first = sorted(map(regex.escape, added), key=len, reverse=True)
         self.cut = regex.compile(f"({'|'.join(longest_first)})") if added else None
         self.pieces = _pattern().findall
-        self.known: dict[str, bytes] = {}
+        self.known = _Known(self, {})
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of a piece: the queue gives the lowest rank, leftmost first; entries whose pair is gone are skipped."""
@@ -111,22 +111,9 @@ class Bpe:
         return [x for x in ids if x >= 0]
 
     def _plain(self, text: str) -> bytes:
-        pieces, known = self.pieces(text), self.known
-        try:
-            return b"".join(map(known.__getitem__, pieces))
-        except KeyError:
-            pass
-        if len(known) > REMEMBERED:
-            known.clear()
-        out = []
-        for p in pieces:
-            ids = known.get(p)
-            if ids is None:
-                ids = array("I", self.merge(p.encode())).tobytes()
-                if len(p) <= 64:  # long ones are rare, and would make the memory of pieces unbounded
-                    known[p] = ids
-            out.append(ids)
-        return b"".join(out)
+        if len(self.known) > REMEMBERED:
+            self.known = _Known(self, dict(self.known))
+        return b"".join(map(self.known.__getitem__, self.pieces(text)))
 
     def encode(self, text: str) -> bytes:
         """The ids of a text, as little-endian unsigned 32-bit integers; added tokens in the text are cut out first."""
@@ -147,6 +134,22 @@ class Bpe:
         return out
 
 
+class _Known(dict):
+    """Ids of pieces, merged where they are missing; those of the generation before are taken over when asked for."""
+
+    def __init__(self, bpe: Bpe, older: dict[str, bytes]):
+        super().__init__()
+        self.merge, self.older = bpe.merge, older
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = array("I", self.merge(piece.encode())).tobytes()
+        if len(piece) <= 64:  # long ones are rare, and would make the memory of pieces unbounded
+            self[piece] = ids
+        return ids
+
+
 @lru_cache(maxsize=2)
 def load(path: str) -> Bpe:
     return Bpe(path)
