@@ -18,7 +18,8 @@ def _name(key: str) -> str:
 
 _MD5 = "MD5(CAST(o_orderkey AS STRING))"
 DECLS = f"""
-SELECT {_name("o_custkey")} AS name,
+SELECT CASE WHEN o_custkey % 31 = 4 THEN CONCAT('OLD_', LPAD(CAST(o_custkey % 900 AS STRING), 4, '0'))
+            ELSE {_name("o_custkey")} END AS name,
        CASE place WHEN 0 THEN '.env' WHEN 1 THEN '.env.example' WHEN 2 THEN '.env.local'
             WHEN 3 THEN 'app/.env.production' ELSE '.env.test' END AS file,
        CAST(o_orderkey AS INT) AS line, CAST(1 AS INT) AS col,
@@ -45,7 +46,7 @@ SELECT {_name("l_partkey")} AS name, CONCAT('src/mod', CAST(l_suppkey % 20 AS ST
        CASE WHEN l_suppkey % 3 = 0 THEN 'import.meta.env' ELSE 'process.env' END AS accessor,
        l_discount > 0.05 AS has_fallback, l_quantity >= 25 AS required,
        CASE l_orderkey % 13 WHEN 0 THEN MD5(CAST(l_partkey AS STRING)) WHEN 1 THEN 'dev' WHEN 2 THEN '' END AS fallback_literal
-FROM {{lineitem}} WHERE l_partkey % 3 > 0"""
+FROM {{lineitem}}"""
 INFRA = f"""
 SELECT CASE event_id % 8 WHEN 3 THEN CASE user_id % 6 WHEN 0 THEN '.env' WHEN 1 THEN './.env.local' WHEN 2 THEN 'prod.env'
                                           WHEN 3 THEN '../app/.env.production' WHEN 4 THEN 'env/none.env' ELSE '.env.test' END
@@ -57,7 +58,7 @@ SELECT CASE event_id % 8 WHEN 3 THEN CASE user_id % 6 WHEN 0 THEN '.env' WHEN 1
             WHEN 3 THEN 'compose-env-file' WHEN 4 THEN 'ci-secret' WHEN 5 THEN 'ci-var' WHEN 6 THEN 'compose-interpolation'
             ELSE 'compose-build-arg' END AS kind,
        event_type = 'error' AS required, event_id % 8 = 3 AS refers_to_file, event_id % 8 IN (1, 6) AS interpolation
-FROM {{events}} WHERE event_id % 40 < 16"""
+FROM {{events}}"""
 ENV_FILES = """
 SELECT * FROM (VALUES
   ('.env', 'dev', true, true, false, true), ('.env.example', 'example', true, false, false, true),
