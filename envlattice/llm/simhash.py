@@ -18,6 +18,8 @@ from .components import components
 
 #: Shingles whose bits are counted at once, so that a text of any length takes a bounded amount of memory.
 CHUNK = 1 << 16
+#: Share of the pairs at the threshold that a wide plan must make candidates.
+RECALL = 0.99
 
 
 def fingerprint(text: bytes, shingle_words: int, n_words64: int = 1, seed: int = 42) -> list[int]:
@@ -112,16 +114,22 @@ def expected_distance(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
+def _agreement(part: float, width: int, radius: int) -> float:
+    """How likely a segment of ``width`` bits agrees to within ``radius``, where a ``part`` of the bits differ."""
+    return sum(math.comb(width, r) * part**r * (1 - part) ** (width - r) for r in range(radius + 1))
+
+
 def wide_plan(similarity: float, n: int) -> tuple[int, int, list[tuple[int, int, int, int]]]:
     """(words, distance, plan) that find texts of so high a similarity, for about ``n`` fingerprints.
 
     At a similarity well below 1 too many bits differ for the pigeonhole to help, so the fingerprint is made wider and
-    its segments many, until one of them agrees to within the radius at that similarity nine times in ten; at 0.9 for 0.8
-    it is 998 times in 1000. The distance allows for one standard deviation.
+    its segments many: the fewest words by which one of them agrees to within the radius at that similarity in RECALL of
+    cases, whatever the number of fingerprints. The distance allows for one standard deviation.
     """
-    words = 8
     cuts, radius = ([0, 16, 32, 48, 64], 0) if n < 1 << 20 else ([0, 21, 42, 64], 1) if n < 1 << 27 else ([0, 32, 64], 2)
     part = expected_distance(similarity)
+    missed = math.prod(1 - _agreement(part, b - a, radius) for a, b in zip(cuts, cuts[1:], strict=False))
+    words = math.ceil(math.log(1 - RECALL) / math.log(missed))
     bits = 64 * words
     distance = math.floor(bits * part + math.sqrt(bits * part * (1 - part)))
     plan = [(w, a, b - a, radius) for w in range(words) for a, b in zip(cuts, cuts[1:], strict=False)]

@@ -154,3 +154,14 @@ def test_deduplicate_odd_rows(spark):
     found = sorted(((r.doc_id or 0, r.text or "") for r in simhash.deduplicate(docs).collect()))
     assert found[:3] == [(0, "z y"), (1, "a b c"), (3, "")] and [i for i, _ in found[3:]] == [5]
     assert simhash.deduplicate(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", [10, 1 << 20, 1 << 27, 1 << 33])
+def test_wide_plans_find_pairs_at_the_threshold_at_any_size(n):
+    words, _, plan = simhash.wide_plan(0.8, n)
+    rng = np.random.default_rng(3)
+    differ = rng.random((4000, words, 64)) < simhash.expected_distance(0.8)
+    candidate = np.zeros(4000, bool)
+    for w, shift, width, radius in plan:
+        candidate |= differ[:, w, shift : shift + width].sum(axis=1) <= radius
+    assert 0.985 <= candidate.mean() <= 0.998
