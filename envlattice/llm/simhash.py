@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import combinations, repeat
 
@@ -18,8 +18,9 @@ from .components import components
 
 #: Shingles whose bits are counted at once, so that a text of any length takes a bounded amount of memory.
 CHUNK = 1 << 16
-#: Share of the pairs at the threshold that a wide plan must make candidates.
-RECALL = 0.99
+#: Share of the pairs at the threshold that a wide plan must make candidates; words of a wide fingerprint that are compared
+#: before the shingles are, and by how many standard deviations their distance may be above its mean.
+RECALL, CHECKED, SPREAD = 0.99, 2, 4
 
 
 def fingerprint(text: bytes, shingle_words: int, n_words64: int = 1, seed: int = 42) -> list[int]:
@@ -122,16 +123,17 @@ def _agreement(part: float, width: int, radius: int) -> float:
 def wide_plan(similarity: float, n: int) -> tuple[int, int, list[tuple[int, int, int, int]]]:
     """(words, distance, plan) that find texts of so high a similarity, for about ``n`` fingerprints.
 
-    At a similarity well below 1 too many bits differ for the pigeonhole to help, so the fingerprint is made wider and
-    its segments many: the fewest words by which one of them agrees to within the radius at that similarity in RECALL of
-    cases, whatever the number of fingerprints. The distance allows for one standard deviation.
+    At a similarity well below 1 too many bits differ for the pigeonhole to help, so the segments are many: wider ones for
+    more fingerprints, and of each kind the fewest words by which some segment agrees at that similarity in RECALL of
+    cases, so that a table's size decides on the cost and not on what is found. The distance is that of the first CHECKED
+    words and allows for SPREAD standard deviations; it only spares comparisons of the shingles.
     """
     cuts, radius = ([0, 16, 32, 48, 64], 0) if n < 1 << 20 else ([0, 21, 42, 64], 1) if n < 1 << 27 else ([0, 32, 64], 2)
     part = expected_distance(similarity)
     missed = math.prod(1 - _agreement(part, b - a, radius) for a, b in zip(cuts, cuts[1:], strict=False))
-    words = math.ceil(math.log(1 - RECALL) / math.log(missed))
-    bits = 64 * words
-    distance = math.floor(bits * part + math.sqrt(bits * part * (1 - part)))
+    words = max(CHECKED, math.ceil(math.log(1 - RECALL) / math.log(missed)))
+    bits = 64 * CHECKED
+    distance = math.floor(bits * part + SPREAD * math.sqrt(bits * part * (1 - part)))
     plan = [(w, a, b - a, radius) for w in range(words) for a, b in zip(cuts, cuts[1:], strict=False)]
     return words, distance, plan
 
@@ -149,45 +151,59 @@ def _entries(names: list[str], plan: list[tuple[int, int, int, int]], flipped: b
     return F.explode(F.flatten(F.array(*(ball(i, *segment) for i, segment in enumerate(plan)))))
 
 
-def star_links(prints: DataFrame, names: list[str], max_distance: int, plan: list[tuple[int, int, int, int]]) -> DataFrame:
+def star_links(
+    prints: DataFrame, names: list[str], max_distance: int, plan: list[tuple[int, int, int, int]], compared: list[str] | None = None
+) -> DataFrame:
     """(a, b) links between rows and the smallest id of each table entry they stand under: as many as entries at most."""
-    t = prints.select("id", *names, _entries(names, plan, False).alias("key"))
-    first = t.groupBy("key").agg(F.min(F.struct("id", *names)).alias("s"), F.count("*").alias("n")).where("n > 1")
+    compared = compared or names
+    t = prints.select("id", *compared, _entries(names, plan, False).alias("key"))
+    first = t.groupBy("key").agg(F.min(F.struct("id", *compared)).alias("s"), F.count("*").alias("n")).where("n > 1")
     first = first.select("key", "s.*").alias("p")
-    near = (F.col("p.id") < F.col("t.id")) & (_all_bits("p", "t", names) <= max_distance)
+    near = (F.col("p.id") < F.col("t.id")) & (_all_bits("p", "t", compared) <= max_distance)
     found = t.alias("t").join(first, (F.col("p.key") == F.col("t.key")) & near)
     return found.select(F.col("p.id").alias("a"), F.col("t.id").alias("b")).distinct()
 
 
-def links(prints: DataFrame, names: list[str], max_distance: int, plan: list[tuple[int, int, int, int]]) -> DataFrame:
+def links(
+    prints: DataFrame, names: list[str], max_distance: int, plan: list[tuple[int, int, int, int]], compared: list[str] | None = None
+) -> DataFrame:
     """(a, b) pairs, a < b, of rows (id, *names) whose fingerprints differ in at most ``max_distance`` bits in all.
 
     ``plan`` has (word, shift, width, radius): each row is entered once in the table of every segment, and asks it for
-    all values within the radius. A match is verified by the complete distance inside the join, so what leaves the join
-    is links only; ``distinct`` drops those that several segments found. Rows with a column ``group`` are only linked
-    with rows of other groups.
+    all values within the radius. A match is verified by the complete distance inside the join, or that of the words
+    ``compared``, so what leaves the join is links only; ``distinct`` drops those that several segments found. Rows with
+    a column ``group`` are only linked with rows of other groups.
     """
+    compared = compared or names
     more = [c for c in prints.columns if c == "group"]
-    t = prints.select("id", *more, *names, _entries(names, plan, False).alias("key")).alias("t")
-    p = prints.select("id", *more, *names, _entries(names, plan, True).alias("key")).alias("p")
-    near = (F.col("p.id") < F.col("t.id")) & (_all_bits("p", "t", names) <= max_distance)
+    t = prints.select("id", *more, *compared, _entries(names, plan, False).alias("key")).alias("t")
+    p = prints.select("id", *more, *compared, _entries(names, plan, True).alias("key")).alias("p")
+    near = (F.col("p.id") < F.col("t.id")) & (_all_bits("p", "t", compared) <= max_distance)
     for c in more:
         near = (F.col(f"p.{c}") != F.col(f"t.{c}")) & near
     found = p.join(t, (F.col("p.key") == F.col("t.key")) & near)
     return found.select(F.col("p.id").alias("a"), F.col("t.id").alias("b")).distinct()
 
 
-def groups(prints: DataFrame, names: list[str], max_distance: int, plan: list[tuple[int, int, int, int]]) -> DataFrame:
+def groups(
+    prints: DataFrame,
+    names: list[str],
+    max_distance: int,
+    plan: list[tuple[int, int, int, int]],
+    compared: list[str] | None = None,
+    verified: Callable[[DataFrame], DataFrame] = lambda found: found,
+) -> DataFrame:
     """(id, component) of the rows that link with any: the classes that all links together make.
 
     First every row is linked with the smallest of each table entry, which joins groups of near copies by as many links as
     they have rows. Then rows are compared with all others of an entry, but links are given out only between what is
-    not joined yet, so that no group's pairs are ever listed and yet no link between two groups is lost.
+    not joined yet, so that no group's pairs are ever listed and yet no link between two groups is lost. ``verified``
+    takes links and leaves those that may join anything.
     """
-    stars = written(star_links(prints, names, max_distance, plan), "stars")
+    stars = written(verified(star_links(prints, names, max_distance, plan, compared)), "stars")
     joined = components(stars).withColumnsRenamed({"node": "id", "component": "group"})
     grouped = prints.join(joined, "id", "left").withColumn("group", F.coalesce("group", "id"))
-    rest = links(written(grouped, "grouped"), names, max_distance, plan)
+    rest = verified(links(written(grouped, "grouped"), names, max_distance, plan, compared))
     return components(stars.unionAll(rest)).withColumnRenamed("node", "id")
 
 
@@ -221,24 +237,66 @@ def near_duplicates(
     return prints.join(named, names).select("id", *names, *more, "component")
 
 
+def shingle_set(text: bytes, shingle_words: int, seed: int = 42) -> list[int]:
+    """The distinct signed 64-bit hashes of a text's shingles, cut as for its fingerprint; none without words."""
+    words = text.lower().split()
+    if not words:
+        return []
+    n = max(1, len(words) - shingle_words + 1)
+    return list({xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle_words]), seed) - (1 << 63) for i in range(n)})
+
+
+def alike(found: DataFrame, texts: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
+    """Those (a, b) of ``found`` whose texts' shingles have a Jaccard similarity of ``similarity`` or more.
+
+    ``texts`` has (content, text) rows, repeated ones too; only those that a link names are cut into shingles.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, shingle_words) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["content", "shingles"])
+
+    found = written(found, "candidates")
+    linked = found.select(F.col("a").alias("content")).unionAll(found.select(F.col("b").alias("content"))).distinct()
+    wanted = texts.join(linked, "content", "left_semi").dropDuplicates(["content"])
+    sets = written(wanted.select("content", "text").mapInArrow(run, "content long, shingles array<long>"), "shingles")
+    a, b = (sets.select(F.col("content").alias(c), F.col("shingles").alias(f"of_{c}")) for c in "ab")
+    common = F.size(F.array_intersect("of_a", "of_b"))
+    union = F.size("of_a") + F.size("of_b") - common
+    near = F.when(union > 0, common / union >= similarity).otherwise(True)
+    return found.join(a, "a").join(b, "b").where(near).select("a", "b")
+
+
 def deduplicate(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8
 ) -> DataFrame:
     """The rows of ``docs`` that are the first of their group of near copies, with all columns.
 
-    Near copies have a Jaccard similarity of their word shingles of about ``similarity`` or more, as estimated from wide
-    fingerprints; a group is what they connect. The row of the smallest id stays, and once only if it is repeated. Rows
-    that share an id are one document. Rows without an id go if they are exact copies by fingerprint of others, and else
-    stay. Null and empty texts are copies of each other.
+    Near copies have a Jaccard similarity of their word shingles of ``similarity`` or more: candidates come from wide
+    fingerprints, and each candidate link is verified by the shingles before it joins anything; a group is what links
+    connect. Texts are linked whatever their ids, null ones too. The row of the smallest id stays, and once only if it is
+    repeated; without any id in a group, one of its rows. Rows that share an id are one document, so of several first
+    rows of one id one stays. Null and empty texts are copies of each other.
     """
-    n = docs.count()
-    words, distance, plan = wide_plan(similarity, n)
-    found = near_duplicates(docs, id_col, text_col, shingle_words, distance, words, plan, content="content")
-    firsts = found.where(F.col("id").eqNullSafe(F.col("component")))
-    alone = F.when(F.col("component").isNull(), F.xxhash64(*(f"f{j}" for j in range(words))))
-    firsts = firsts.groupBy("component", alone.alias("alone")).agg(F.min("content").alias("content"))
+    words, distance, plan = wide_plan(similarity, docs.count())
+    names = [f"f{j}" for j in range(words)]
+    prints = fingerprints(docs, id_col, text_col, shingle_words, words, "content")
+    nodes = written(prints.groupBy("content", *names).agg(F.min("id").alias("least")), "nodes")
+    texts = docs.select(
+        _content(F.col(text_col)).alias("content"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text")
+    )
+    linked = groups(
+        nodes.select(F.col("content").alias("id"), *names), names, distance, plan, names[:CHECKED],
+        lambda found: alike(found, texts, shingle_words, similarity),
+    ).withColumnRenamed("id", "content")
+    grouped = nodes.join(linked, "content", "left").withColumn("component", F.coalesce("component", "content"))
+    first = F.min(F.struct(F.col("least").isNull().alias("unnamed"), "least", "content")).alias("first")
+    firsts = grouped.groupBy("component").agg(first).select("first.*")
+    alone = F.when(F.col("unnamed"), F.col("content"))
+    firsts = firsts.groupBy("least", alone.alias("alone")).agg(F.min("content").alias("content"))
     key = lambda id_: F.coalesce(id_.cast("long"), F.lit(-(2**63)))
-    wanted = firsts.select(key(F.col("component")).alias("key"), "content").distinct()
+    wanted = firsts.select(key(F.col("least")).alias("key"), "content").distinct()
     rows = docs.select(F.struct("*").alias("row"), key(F.col(id_col)).alias("key"), _content(F.col(text_col)).alias("content"))
     kept = rows.join(wanted, ["key", "content"], "left_semi").dropDuplicates(["key", "content"])
     return kept.select("row.*")

@@ -158,10 +158,35 @@ def test_deduplicate_odd_rows(spark):
 
 @pytest.mark.parametrize("n", [10, 1 << 20, 1 << 27, 1 << 33])
 def test_wide_plans_find_pairs_at_the_threshold_at_any_size(n):
-    words, _, plan = simhash.wide_plan(0.8, n)
+    words, distance, plan = simhash.wide_plan(0.8, n)
     rng = np.random.default_rng(3)
     differ = rng.random((4000, words, 64)) < simhash.expected_distance(0.8)
     candidate = np.zeros(4000, bool)
     for w, shift, width, radius in plan:
         candidate |= differ[:, w, shift : shift + width].sum(axis=1) <= radius
-    assert 0.985 <= candidate.mean() <= 0.998
+    near = differ[:, : simhash.CHECKED].sum(axis=(1, 2)) <= distance
+    assert 0.985 <= (candidate & near).mean() <= 0.998
+
+
+def test_deduplicate_at_the_threshold(spark):
+    rng = np.random.default_rng(6)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    rows, similar = [], {}
+    for g in range(800):
+        base = list(rng.choice(vocabulary, 300))
+        copy = list(base)
+        for at in rng.choice(np.arange(5, 295, 10), rng.integers(5, 10), replace=False):
+            copy[at] = f"new{rng.integers(10**9)}"
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(copy))]
+        similar[2 * g + 1] = jaccard(base, copy)
+    kept = {r.doc_id for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    over, under = [i for i, x in similar.items() if 0.8 <= x < 0.85], [i for i, x in similar.items() if x < 0.8]
+    assert len(over) > 200 and len(under) > 200
+    assert all(i in kept for i in under) and sum(i in kept for i in over) <= 0.02 * len(over)
+
+
+def test_texts_without_ids_have_near_copies(spark):
+    words = [f"w{i}" for i in range(100)]
+    rows = [(None, " ".join(words)), (None, " ".join(words[:-1] + ["other"])), (7, " ".join(words[1:])), (None, "p q r s t u")]
+    out = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id or 0 for r in out) == [0, 7]
