@@ -17,7 +17,7 @@ from .components import components
 SHARD = 8192
 #: Links of a node above the ground and on it, and beams while a graph is built and at a query's start.
 M, M0, BUILD_BEAM, BEAM = 12, 24, 48, 32
-#: Queries of a task that are audited against brute force, and the share of their links that must be found.
+#: Queries with links that a task audits against brute force, and the share of their links that must be found.
 AUDIT, RECALL = 256, 0.99
 #: How far below the threshold a search that is among links goes on from node to node.
 MARGIN = 0.02
@@ -137,28 +137,45 @@ class Graph:
         return nodes[self.exact[nodes] @ q >= threshold] if len(nodes) else nodes
 
 
-def search(queries: np.ndarray, graph: Graph, threshold: float) -> tuple[list[np.ndarray], int]:
+def exact(queries: np.ndarray, graph: Graph, threshold: float) -> list[np.ndarray]:
+    """Links of every query by brute force, in blocks."""
+    blocks = (queries[i : i + AUDIT] @ graph.exact.T >= threshold for i in range(0, len(queries), AUDIT))
+    return [np.flatnonzero(row) for block in blocks for row in block]
+
+
+def search(queries: np.ndarray, graph: Graph, threshold: float, same: bool = False) -> tuple[list[np.ndarray], int]:
     """Links of every query (unit vectors), by a beam that is widened until the audit finds RECALL of them.
 
-    The audit takes queries at equal steps and compares what the search finds with brute force over the shard.
+    The audit compares what the search finds with brute force over the shard, for queries that have links: they are drawn
+    until there are AUDIT of them. With ``same`` the queries are the graph's own vectors, and a vector's match with itself
+    is no link. Where the queries run out before, brute force has seen all of them and is the result, as it is where no
+    beam passes.
     """
     n = len(queries)
-    audited = np.unique(np.linspace(0, n - 1, min(n, AUDIT)).astype(int))
-    truth = queries[audited] @ graph.exact.T >= threshold
-    beam = BEAM
-    while beam < len(graph.exact):
-        found = sum(int(truth[k, graph.near(queries[i], threshold, beam)].sum()) for k, i in enumerate(audited))
-        if found >= RECALL * truth.sum():
+    order = np.random.default_rng(n).permutation(n)
+    audited: list[tuple[int, np.ndarray]] = []
+    for at in range(0, n, AUDIT):
+        some = order[at : at + AUDIT]
+        truth = queries[some] @ graph.exact.T >= threshold
+        if same:
+            truth[np.arange(len(some)), some] = False
+        audited += [(int(some[k]), truth[k]) for k in np.flatnonzero(truth.any(axis=1))]
+        if len(audited) >= AUDIT:
             break
+    total, beam = sum(int(truth.sum()) for _, truth in audited), BEAM
+    while len(audited) >= AUDIT and beam < len(graph.exact):
+        found = sum(int(truth[graph.near(queries[i], threshold, beam)].sum()) for i, truth in audited)
+        if found >= RECALL * total:
+            return [graph.near(q, threshold, beam) for q in queries], beam
         beam *= 2
-    return [graph.near(q, threshold, beam) for q in queries], beam
+    return exact(queries, graph, threshold), len(graph.exact)
 
 
 def link(a: Graph, b: Graph | None, threshold: float) -> np.ndarray:
     """Which vectors of ``a`` link with which of ``b`` (or of ``a`` itself): found from either side."""
     other = a if b is None else b
     found = np.zeros((len(a.exact), len(other.exact)), bool)
-    for i, hits in enumerate(search(a.exact, other, threshold)[0]):
+    for i, hits in enumerate(search(a.exact, other, threshold, same=b is None)[0]):
         found[i, hits] = True
     if b is None:
         found |= found.T

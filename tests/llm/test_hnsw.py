@@ -77,3 +77,23 @@ def test_odd_vectors(spark):
 
 def test_query_columns(spark):
     assert queries.op8_hnsw(spark, "/root/testdata/sf0.001").columns == ["vec_id", "n_links", "component_id", "kept"]
+
+
+def sparse(n=600, pairs=20):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(n, 16))
+    v[1 : 2 * pairs : 2] = v[0 : 2 * pairs : 2] + rng.normal(size=(pairs, 16)) * 0.01
+    return v
+
+
+@pytest.mark.parametrize("across", [False, True])
+def test_a_search_that_finds_nothing_but_the_query_fails_the_audit(monkeypatch, across):
+    v = sparse()
+    a, b = (hnsw.Graph(v[::2]), hnsw.Graph(v[1::2])) if across else (hnsw.Graph(v), None)
+    want = a.exact @ (b or a).exact.T >= 0.98
+    if not across:
+        np.fill_diagonal(want, False)
+    monkeypatch.setattr(hnsw.Graph, "near", lambda g, q, t, beam: np.flatnonzero(g.exact @ q >= 1 - 1e-9))
+    assert want.any() and (hnsw.link(a, b, 0.98) == want).all()
+    dense = hnsw.Graph(np.random.default_rng(5).normal(size=16) + np.random.default_rng(6).normal(size=(400, 16)) * 0.01)
+    assert hnsw.link(dense, None, 0.98).sum() > 400
