@@ -66,3 +66,18 @@ def test_odd_rows_through_all_stages(spark):
             frame = stage(spark, frame, D)
         assert frame.columns == ["doc_id", "n_tokens", "ids"]
         frame.collect()
+
+
+def test_tokens_come_in_the_order_that_the_mix_wrote(spark, tmp_path):
+    rows = [(i * 7 % 60, f"word {i} " * (1 + i), "a") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    place = F.expr("doc_id * 43 % 60")  # the inverse of 7 modulo 60
+    docs.repartitionByRange(6, place).sortWithinPartitions(place).write.parquet(f"{tmp_path}/mixed")
+    read = spark.read.parquet(f"{tmp_path}/mixed")
+    assert len(read.inputFiles()) > 1
+    corpus_pipeline.tokens(spark, read, D).write.parquet(f"{tmp_path}/ids")
+    encoded = corpus_pipeline.in_written_order(spark.read.parquet(f"{tmp_path}/ids"))
+    want = [i for i, *_ in rows]
+    assert [r.doc_id for r in read.collect()] != want
+    assert [r.doc_id for r in corpus_pipeline.tokens(spark, read, D).collect()] == want
+    assert [r.doc_id for r in encoded.collect()] == want
