@@ -21,17 +21,18 @@ _COMPOSE_LIKE = re.compile(r"(?:^|[-._])compose(?:[-._]|$)", re.I)
 SCRIPT_KEYS = {"script", "before_script", "after_script", "entrypoint", "variables"}
 
 
-def _member(name: str, kind: str, required: bool) -> tuple[re.Pattern, str, bool]:
-    return re.compile(rf"(?<![\w./-]){name}\.(?P<name>[A-Za-z_][A-Za-z0-9_]*)", re.A), kind, required
+# Contexts of an expression, the kind of what their members name, and which dialects know them.
+_CONTEXTS = {"secrets": "ci-secret", "vars": "ci-var", "env": "ci-env-usage", "variables": "ci-env-usage"}
+_NAME = r"(?P<name>[A-Za-z_][A-Za-z0-9_]*)"
 
 
-GITHUB = [_member("secrets", "ci-secret", True), _member("vars", "ci-var", False), _member("env", "ci-env-usage", False)]
-AZURE = [
-    (re.compile(r"\$\((?P<name>[A-Za-z_][A-Za-z0-9_]*)\)"), "ci-env-usage", False),
-    _member("variables", "ci-env-usage", False),
-    _member("env", "ci-env-usage", False),
-]
-SHELL = [(re.compile(r"(?<![$\\])\$(?P<name>[A-Za-z_][A-Za-z0-9_]*)"), "ci-env-usage", False)]
+def _members(*contexts: str) -> str:
+    return rf"(?<![\w./-])(?P<context>{'|'.join(contexts)})\.{_NAME}"
+
+
+GITHUB = re.compile(_members("secrets", "vars", "env"), re.A)
+AZURE = re.compile(rf"\$\({_NAME}\)|{_members('variables', 'env').replace('<name>', '<member>')}", re.A)
+SHELL = re.compile(rf"(?<![$\\])\${_NAME}")
 
 
 def dialect(path: str) -> str | None:
@@ -92,14 +93,13 @@ class _Scan:
                 quote = e.line.text[e.line.key_at : e.line.key_at + 1] in ("'", '"')
                 self.add(e.key, e.line, e.line.key_at + quote, "ci-env", not unquote(e.value), False)
 
-    def uses(self, line: Line, text: str, offset: int, patterns: list) -> None:
-        """Hits of several patterns; of those that overlap the first stays, of equal starts the shortest."""
-        hits = sorted((m.start(), m.end(), m.start("name"), m["name"], k, r) for p, k, r in patterns for m in p.finditer(text))
-        covered = 0
-        for start, end, at, name, kind, required in hits:
-            if start >= covered:
-                covered = end
-                self.add(name, line, offset + at, kind, required, True)
+    def uses(self, line: Line, text: str, offset: int, pattern: re.Pattern) -> None:
+        """What one pattern with a branch for each form finds from left to right, so that hits never overlap."""
+        for m in pattern.finditer(text):
+            found = m.groupdict()
+            kind = _CONTEXTS.get(found.get("context"), "ci-env-usage")
+            group = "name" if found["name"] else "member"
+            self.add(m[group], line, offset + m.start(group), kind, kind == "ci-secret", True)
 
     def shell(self, entry: Entry, depth: int = 0) -> None:
         """Variables in an entry's value and in all below it."""
@@ -116,10 +116,10 @@ def scan(path: str, text: str) -> list[dict]:
     """Rows of the infra relation, in order of place, name and kind."""
     kind, found = dialect(path), yamlish.lines(text)
     top, run = entries(found), _Scan(path)
-    patterns = {"github": GITHUB, "azure": AZURE}.get(kind, [])
-    for line in found if patterns else []:
+    pattern = {"github": GITHUB, "azure": AZURE}.get(kind)
+    for line in found if pattern else []:
         if not line.comment:
-            run.uses(line, line.text, 0, patterns)
+            run.uses(line, line.text, 0, pattern)
     for e in walk(top):
         if kind == "github" and e.key == "env" and not e.value or kind == "azure" and e.key == "variables":
             run.declare(e.children)

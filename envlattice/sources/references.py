@@ -4,67 +4,36 @@ from __future__ import annotations
 
 import re
 
-_BRACED = re.compile(r"\$\{([A-Za-z_][A-Za-z0-9_]*)(?=[}\-?+:])")
-_OPERATOR = "-?+:"
+#: Characters of a default or message at most, and with it a reference in braces: ``${NAME}`` or ``${NAME<operator>...}``.
 BODY = 4096
-_DOLLAR = re.compile(r"\$")
-_NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
-_BRACES = re.compile(r"[{}]")
+BRACED = rf"\$\{{(?P<braced>[A-Za-z_][A-Za-z0-9_]*)(?:\}}|(?::[-?+:]|[-?+:])[^}}]{{0,{BODY}}}+\}})"
+_BRACED = re.compile(BRACED)
+#: What decides where a reference of compose files starts and ends. Pairs that open none come first.
+_TOKEN = re.compile(
+    r"\$[$(]|\$\{(?P<name>[A-Za-z_][A-Za-z0-9_]*)(?P<required>:?\?)?|(?<![A-Za-z0-9_])\$(?P<bare>[A-Za-z_][A-Za-z0-9_]*)|(?P<brace>[{}])"
+)
 
 
 def braced(text: str) -> list[tuple[int, int, str]]:
     """(start, end, name) of every ``${NAME}`` and ``${NAME<operator>...}`` with a bounded body, in order."""
-    out, at, brace = [], 0, -2
-    while m := _BRACED.search(text, at):
-        end = m.end()
-        at = m.start() + 1
-        if text[end] != "}":
-            if brace != -1 and brace < end:
-                brace = text.find("}", end)
-            wide = 2 if text[end] == ":" and text[end + 1 : end + 2] in tuple(_OPERATOR) else 1
-            if brace < 0 or not any(0 <= brace - end - w <= BODY for w in {1, wide}):
-                continue
-            end = brace
-        out.append((m.start(), end + 1, m[1]))
-        at = end + 1
-    return out
-
-
-def _closing(text: str) -> dict[int, int]:
-    """The closing brace of every opening one that has one."""
-    open_, out = [], {}
-    for m in _BRACES.finditer(text):
-        if m[0] == "{":
-            open_.append(m.start())
-        elif open_:
-            out[open_.pop()] = m.start()
-    return out
+    return [(*m.span(), m["braced"]) for m in _BRACED.finditer(text)]
 
 
 def interpolations(text: str) -> list[tuple[int, str, bool]]:
     """(offset of the dollar, name, required) of ``$A``, ``${A}``, ``${A:-d}`` and ``${A:?e}``; bodies may nest.
 
-    ``$$``, ``$(`` and ``${{`` are passed over, as is a dollar behind a name.
+    ``$$``, ``$(`` and ``${{`` are passed over, as is a bare dollar behind a name. A brace that closes a reference makes what
+    was found since it opened part of its body; one that never closes is none, and what follows it counts.
     """
-    out, at, closing = [], 0, None
-    while m := _DOLLAR.search(text, at):
-        i = m.start()
-        after = text[i + 1 : i + 2]
-        at = i + 1
-        if after in ("$", "("):
-            at = i + 2
-        elif after == "{":
-            if text[i + 2 : i + 3] == "{":
-                at = i + 3
-                continue
-            name = _NAME.match(text, i + 2)
-            closing = _closing(text) if closing is None else closing
-            if name is None or i + 1 not in closing:
-                at = i + 2
-                continue
-            out.append((i, name[0], re.match(r":?\?", text[name.end() : name.end() + 2]) is not None))
-            at = closing[i + 1] + 1
-        elif (name := _NAME.match(text, i + 1)) and not (i and re.match(r"[A-Za-z0-9_]", text[i - 1])):
-            out.append((i, name[0], False))
-            at = name.end()
+    out: list[tuple[int, str, bool]] = []
+    opened: list[tuple[int, re.Match]] = []  # (how many were found before, the token) of every brace still open
+    for m in _TOKEN.finditer(text):
+        if m["bare"]:
+            out.append((m.start(), m["bare"], False))
+        elif m["name"] or m["brace"] == "{":
+            opened.append((len(out), m))
+        elif m["brace"] and opened:
+            before, opener = opened.pop()
+            if opener["name"]:
+                out[before:] = [(opener.start(), opener["name"], opener["required"] is not None)]
     return out

@@ -207,7 +207,7 @@ def test_dotenv_round_trip(spark, scanned):
 
 
 def test_format_text():
-    assert dotenv.format_text("B=1 \n# c\nA=2\n\nD=1\nC=2") == ("# c\nA=2\nB=1\n\nC=2\nD=1\n", ["trailing whitespace", "key order", "final newline"])
+    assert dotenv.format_text("B=1 \n# c\nA=2\n\nD=1\nC=2") == ("# c\nA=2\nB=1\n\nC=2\nD=1\n", ["blanks at line ends", "order of keys", "last line end"])
     assert dotenv.format_text("B=1\nA=1\nB=2\n")[0] == "A=1\nB=1\nB=2\n"
     assert dotenv.format_text("") == ("", []) and dotenv.format_text("A=1\r\n") == ("A=1\r\n", [])
     once = dotenv.format_text("Z=1\nY=\"a\nb\"\n#x\n\nA=1 ")[0]
