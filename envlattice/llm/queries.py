@@ -11,8 +11,16 @@ from pyspark.sql import functions as F
 from . import bpe, hnsw, mixing, quality, secrets, simhash, substrings, tokencount, urlfilter, warc
 from .common import fresh_path, n_words, table, written
 
-#: The folder of the public tokenizers' vocabulary files.
-TOKENIZERS = os.environ.get("ENVLATTICE_TOKENIZERS", "/opt/tokenizers")
+def _tokenizers() -> str:
+    if found := os.environ.get("ENVLATTICE_TOKENIZERS"):
+        return found
+    from public_tokenizers import path
+
+    return os.path.dirname(path("byte_bpe_50k.json"))
+
+
+#: The folder of the public tokenizers' vocabulary files, the same on every machine.
+TOKENIZERS = _tokenizers()
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
