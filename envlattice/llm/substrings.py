@@ -2,10 +2,12 @@
 
 Every window of ``window`` words selects one anchor, the k-gram of the least hash in it (the last of equals), so equal
 windows select equal anchors and consecutive windows mostly share one. A *segment* is a run of windows of one document
-with one anchor; segments are dealt by anchor, which makes the anchors the reference shards. Only anchors that occur
-again matter. Of those, each distinct segment's words are fetched once, a suffix automaton is built over the segments of
-a shard, and the segments, with the number of their occurrences in the corpus, are streamed through it: a state that
-holds a match of ``window`` words is one distinct window, and its count says in how many places it starts.
+with one anchor, and segments are dealt by anchor. Only anchors that occur again matter. Of those, each distinct
+segment's words are fetched once, from one of the texts that hold it, with the number of its occurrences in the corpus.
+A reference shard is as many whole anchors as make SHARD words: a suffix automaton is built over its segments, and the
+segments are streamed through it for their matching statistics. Where the longest match has ``window`` words or more, the
+state that holds the last ``window`` of them is one distinct window, and the numbers of the segments that pass there say
+in how many places it starts. Texts are known by 128 bits of their MD5, so equal texts are one, whatever their ids.
 """
 
 from __future__ import annotations
@@ -15,17 +17,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import forget, written
 
 #: Words of an anchor.
 GRAM = 8
-#: Distinct segments of an anchor beyond which its shard is cut by whole windows, so that no automaton is unbounded.
+#: Words of a reference shard, of whole anchors.
+SHARD = 1 << 15
+#: Distinct segments of an anchor that one shard takes. The exact way for the rest: those of a hotter anchor are dealt window
+#: by window, by the hash of all its words, so that equal windows still meet and no automaton is unbounded.
 HOT_ANCHOR = 2000
-#: A place packs the first window (31 bits), the number of windows (6 bits) and bits of the text's hash (26 bits).
-_START, _RUN, _HASH = 1 << 32, 1 << 6, 1 << 26
+#: A place packs the first window's word and the number of windows.
+_RUN = 1 << 32
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -144,7 +149,10 @@ class SuffixAutomaton:
         return copy
 
     def windows(self, words: list, size: int) -> list[int]:
-        """For every window of ``size`` words of a text the state that holds it, or -1 if no text put in has it."""
+        """For every window of ``size`` words of a text the state that holds it, or -1 if no text put in has it.
+
+        ``n`` is the matching statistic: the words of the longest match that ends here, in state ``v``.
+        """
         nxt, link, length = self.next, self.link, self.length
         out, v, n = [], 0, 0
         for i, w in enumerate(words):
@@ -193,39 +201,28 @@ def _batch(names: list[str], kinds: list, columns: list) -> pa.RecordBatch:
 def _segments_of(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, anchors, contents, places = [], [], [], []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                text = text or b""
+            found: list[list[np.ndarray]] = [[], [], [], [], []]
+            for t0, t1, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 anchor, content, first, run = segments(text.split(), window)
-                if len(anchor):
-                    ids.append(np.full(len(anchor), i, np.int64))
-                    anchors.append(anchor)
-                    contents.append(content)
-                    places.append((first * _RUN + run) * _HASH + text_bits(text))
-            columns = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (anchors, contents, ids, places)]
-            yield _batch(["anchor", "content", "row", "place"], [pa.int64()] * 4, columns)
+                n = len(anchor)
+                for column, x in zip(found, (anchor, content, np.full(n, t0), np.full(n, t1), first * _RUN + run), strict=True):
+                    column.append(x)
+            columns = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in found]
+            yield _batch(["anchor", "content", "t0", "t1", "place"], [pa.int64()] * 5, columns)
 
     return run
 
 
-def text_bits(text: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(text) % _HASH
-
-
 def _fetch(window: int):
-    """Words of the wanted segments of each row: (key, anchor, content, offset, n, words)."""
+    """Words of the wanted segments of each text: (key, anchor, content, offset, n, words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
             for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                text, words = text or b"", None
+                words = text.split()
                 for want in wanted:
-                    first, run, bits = want["place"] // _HASH // _RUN, want["place"] // _HASH % _RUN, want["place"] % _HASH
-                    if words is None:
-                        words, own = text.split(), text_bits(text)
-                    if bits != own:  # of another row with this id
-                        continue
+                    first, run = divmod(want["place"], _RUN)
                     if want["hot"]:
                         pieces = [(j, b" ".join(words[first + j : first + j + window])) for j in range(run)]
                         keyed = [(xxhash.xxh3_64_intdigest(p) - (1 << 63), j, p) for j, p in pieces]
@@ -234,79 +231,78 @@ def _fetch(window: int):
                     for key, j, piece in keyed:
                         for column, x in zip(out, (key, want["anchor"], want["content"], j, want["n"], piece), strict=True):
                             column.append(x)
-            yield _batch(
-                ["key", "anchor", "content", "offset", "n", "words"], [*[pa.int64()] * 5, pa.binary()], out
-            )
+            yield _batch(["key", "anchor", "content", "offset", "n", "words"], [*[pa.int64()] * 5, pa.binary()], out)
 
     return run
 
 
 def _judge(window: int):
-    """Shards of the rows of _fetch, in order of key -> (anchor, content, runs of repeated windows)."""
+    """Rows of _fetch, in order of key -> (anchor, content, runs of repeated windows), a shard at a time."""
 
-    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        key, own = None, {}
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+        key, own, size = None, [], 0
         for batch in batches:
-            for k, *who, n, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if k != key:
-                    if own:
-                        yield own
-                    key, own = k, {}
-                own[tuple(who)] = (words, n)  # rows that occur again, with equal ids, count once: n has them all
+            for k, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != key and size >= SHARD:
+                    yield own
+                    own, size = [], 0
+                key = k
+                own.append(row)
+                size += row[-1].count(b" ") + 1
         if own:
             yield own
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, kinds = ["anchor", "content", "first", "end"], [pa.int64()] * 4
-        out: list[list[int]] = [[], [], [], []]
         for own in shards(batches):
             texts: dict[bytes, int] = {}
-            for words, n in own.values():
+            for *_, n, words in own:
                 texts[words] = texts.get(words, 0) + n
             found = dict(zip(texts, repeated(list(texts), list(texts.values()), window), strict=True))
-            for (anchor, content, offset), (words, _) in own.items():
+            out: list[list[int]] = [[], [], [], []]
+            for anchor, content, offset, _, words in own:
                 for a, b in found[words]:
                     for column, x in zip(out, (anchor, content, a + offset, b + offset), strict=True):
                         column.append(x)
-            if len(out[0]) > 50_000:
-                yield _batch(names, kinds, out)
-                out = [[], [], [], []]
-        yield _batch(names, kinds, out)
+            yield _batch(names, kinds, out)
 
     return run
 
 
-def spans(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, bits, spans) for the rows that have repeated windows: sorted (first word, end) of the words they cover.
+def _name(text: Column) -> list[Column]:
+    """The 128 bits that name a text, in two longs."""
+    digest = F.md5(text)
+    return [F.conv(F.substring(digest, 1 + 16 * i, 16), 16, -10).cast("long").alias(f"t{i}") for i in range(2)]
 
-    ``row`` is the id, the least long where that is null, and ``bits`` tells rows of one id but other texts apart.
-    """
+
+def spans(docs: DataFrame, window: int = 35, text_col: str = "text") -> DataFrame:
+    """(t0, t1, spans) for the texts that have repeated windows: sorted (first word, end) of the words they cover."""
     if window < 2:
         raise ValueError("a window has two words or more")
-    rows = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("row"), F.col(text_col).cast("binary").alias("text")
-    )
-    kept = rows.where(F.length("text") >= 2 * window - 1)
+    text = F.col(text_col).cast("binary")
+    kept = docs.where(F.length(text) >= 2 * window - 1).select(*_name(text), text.alias("text"))
     every = written(
-        kept.mapInArrow(_segments_of(window), "anchor long, content long, row long, place long"), "segments"
+        kept.mapInArrow(_segments_of(window), "anchor long, content long, t0 long, t1 long, place long"), "segments"
     )
     # the join's key is not the one that was counted by, so both sides are dealt for it and Spark can split a hot anchor
     again = every.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select(F.bitwise_not("anchor").alias("not_anchor"))
     wanted = written(every.join(again, F.bitwise_not("anchor") == F.col("not_anchor"), "left_semi"), "wanted")
     forget(every)
     distinct = wanted.groupBy("anchor", "content").agg(
-        F.count("*").alias("n"), F.min(F.struct("row", "place")).alias("at")
+        F.count("*").alias("n"), F.min(F.struct("t0", "t1", "place")).alias("at")
     )
-    distinct = written(distinct.select("anchor", "content", "n", "at.row", "at.place"), "distinct")
+    distinct = written(distinct.select("anchor", "content", "n", "at.*"), "distinct")
     hot = distinct.groupBy("anchor").agg(F.count("*").alias("k")).where(F.col("k") > HOT_ANCHOR)
     hot = hot.select(F.bitwise_not("anchor").alias("not_anchor"), F.lit(True).alias("hot"))
+    # a list has at most the segments of one text
     lists = (
         distinct.join(hot, F.bitwise_not("anchor") == F.col("not_anchor"), "left")
-        .groupBy("row")
+        .groupBy("t0", "t1")
         .agg(F.collect_list(F.struct("anchor", "content", "n", "place", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("wanted"))
     )
     shards = (
-        kept.join(lists, "row")
+        kept.dropDuplicates(["t0", "t1"])
+        .join(lists, ["t0", "t1"])
         .select("text", "wanted")
         .mapInArrow(_fetch(window), "key long, anchor long, content long, offset long, n long, words binary")
     )
@@ -314,15 +310,12 @@ def spans(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: s
         shards.repartition("key").sortWithinPartitions("key").mapInArrow(_judge(window), "anchor long, content long, first long, end long"),
         "judged",
     )
+    forget(distinct)
     found = wanted.join(judged, ["anchor", "content"])
-    start = F.col("place").cast("long")
-    first = F.shiftright(start, 32) + F.col("first")
-    last = F.shiftright(start, 32) + F.col("end") + (window - 1)
-    return (
-        found.select("row", start.bitwiseAND(F.lit(_HASH - 1)).alias("bits"), first.alias("first"), last.alias("end"))
-        .groupBy("row", "bits")
-        .agg(F.array_sort(F.collect_list(F.struct("first", "end"))).alias("spans"))
-    )
+    start = F.shiftright("place", 32)
+    covered = F.struct((start + F.col("first")).alias("first"), (start + F.col("end") + (window - 1)).alias("end"))
+    # a set, so that equal texts are one before anything is shuffled
+    return found.groupBy("t0", "t1").agg(F.array_sort(F.collect_set(covered)).alias("spans"))
 
 
 def _cut():
@@ -330,16 +323,14 @@ def _cut():
         for batch in batches:
             out: list[list] = [[], [], []]
             for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                text = text or b""
-                words = text.split()
-                n, kept, at = len(words), [], 0
-                bits = text_bits(text) if found else 0
-                for span in (s for f in found or () if f["bits"] == bits for s in f["spans"]):
+                words = (text or b"").split()
+                kept, at = [], 0
+                for span in found or ():
                     kept += words[at : max(at, span["first"])]
                     at = max(at, span["end"])
                 kept += words[at:]
-                out[0].append(n)
-                out[1].append(n - len(kept))
+                out[0].append(len(words))
+                out[1].append(len(words) - len(kept))
                 out[2].append(b" ".join(kept))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())],
@@ -354,19 +345,15 @@ def remove_repeated(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
 
     A window is repeated if its words also start anywhere else in the table, the same text included; all are judged on
     the input. ``kept`` is UTF-8, words joined by single spaces. A null text has no words; rows that occur again repeat
-    each other; null ids are kept, and rows that share an id but not the text are told apart.
+    each other; ids are only carried along, so null and shared ones are as good as any. Texts of any length are taken whole,
+    an empty table gives an empty result, and no other column is read.
     """
-    found = spans(docs, window, id_col, text_col)
-    per_row = found.groupBy("row").agg(F.collect_list(F.struct("bits", "spans")).alias("found"))
-    rows = docs.select(
-        F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("row"),
-    )
-    joined = rows.join(per_row, "row", "left").select("id", "text", "found")
+    text = F.col(text_col).cast("binary")
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), *_name(text))
+    joined = rows.join(spans(docs, window, text_col), ["t0", "t1"], "left").select("id", "text", "spans")
     kind = joined.schema["id"].dataType.simpleString()
     return joined.mapInArrow(_cut(), f"id {kind}, n_words long, n_removed long, kept binary")
 
 
 def digest(kept: DataFrame) -> DataFrame:
     return kept.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
-

@@ -35,10 +35,11 @@ def test_documents(spark):
     assert got(docs, 35) == brute(rows, 35)
 
 
-@pytest.mark.parametrize("hot", [2000, 3])
+@pytest.mark.parametrize("hot, shard", [(2000, 1 << 15), (3, 40)])
 @pytest.mark.parametrize("window", [5, 12])
-def test_few_words(spark, monkeypatch, window, hot):
+def test_few_words(spark, monkeypatch, window, hot, shard):
     monkeypatch.setattr(substrings, "HOT_ANCHOR", hot)
+    monkeypatch.setattr(substrings, "SHARD", shard)
     rng = random.Random(window)
     rows = []
     for i in range(150):
@@ -71,3 +72,19 @@ def test_long_text(spark):
     words = [f"w{i * i % 7919}" for i in range(60_000)]
     rows = [(1, " ".join(words)), (2, " ".join(words[30_000:30_034])), (3, " ".join(words[100:135]))]
     assert got(spark.createDataFrame(rows, "doc_id long, text string"), 35) == brute(rows, 35)
+
+
+def test_thousands_of_rows_without_an_id_or_with_one_id(spark):
+    rng = random.Random(3)
+    words = [f"v{i}" for i in range(3000)]
+    texts = [" ".join(rng.choices(words, k=45)) for _ in range(9000)]
+    texts += [" ".join(texts[7].split()[3:40]), texts[8], texts[8]]
+    rows = [(None if i % 2 else 4, t) for i, t in enumerate(texts)]
+    assert got(spark.createDataFrame(rows, "doc_id long, text string"), 35) == brute(rows, 35)
+
+
+@pytest.mark.parametrize("window", [70, 150, 300])
+def test_long_windows(spark, window):
+    words = [f"w{i * i % 7919}" for i in range(3000)]
+    rows = [(1, " ".join(words)), (2, " ".join(["x"] * 9 + words[100 : 101 + window])), (3, " ".join(words[1000 : 999 + window]))]
+    assert got(spark.createDataFrame(rows, "doc_id long, text string"), window) == brute(rows, window)
