@@ -17,7 +17,7 @@ from .components import components
 SHARD = 8192
 #: Links of a node above the ground and on it, and beams while a graph is built and at a query's start.
 M, M0, BUILD_BEAM, BEAM = 12, 24, 48, 32
-#: Queries with links that a task audits against brute force, and the share of their links that must be found.
+#: Queries of each kind that a task audits against brute force, and the share of their links that must be found.
 AUDIT, RECALL = 256, 0.99
 #: How far below the threshold a search that is among links goes on from node to node.
 MARGIN = 0.02
@@ -143,47 +143,60 @@ def exact(queries: np.ndarray, graph: Graph, threshold: float) -> list[np.ndarra
     return [np.flatnonzero(row) for block in blocks for row in block]
 
 
-def search(queries: np.ndarray, graph: Graph, threshold: float, same: bool = False) -> tuple[list[np.ndarray], int]:
-    """Links of every query (unit vectors), by a beam that is widened until the audit finds RECALL of them.
+def probes(graph: Graph, threshold: float) -> np.ndarray:
+    """AUDIT unit vectors that have a link each: vectors of the graph, turned by angles up to that of the threshold."""
+    n, dim = graph.exact.shape
+    rng = np.random.default_rng(n)
+    near = graph.exact[rng.choice(n, AUDIT)]
+    away = rng.normal(size=near.shape)
+    away -= (away * near).sum(axis=1, keepdims=True) * near
+    size = np.linalg.norm(away, axis=1, keepdims=True)
+    cosine = rng.uniform(threshold + (1 - threshold) / 100, 1, (AUDIT, 1))
+    turned = cosine * near + np.sqrt(1 - cosine**2) * away / np.where(size > 0, size, 1)
+    return np.where(size > 1e-9, turned, near)
 
-    The audit compares what the search finds with brute force over the shard, for queries that have links: they are drawn
-    until there are AUDIT of them. With ``same`` the queries are the graph's own vectors, and a vector's match with itself
-    is no link. Where the queries run out before, brute force has seen all of them and is the result, as it is where no
-    beam passes.
+
+def search(queries: np.ndarray, graph: Graph, threshold: float, same: bool = False) -> tuple[list[np.ndarray], int, tuple[int, int]]:
+    """Links of every query (unit vectors), by a beam that is widened until the audit finds RECALL of them; the beam; and
+    how many links were audited and how many of those found.
+
+    The audit compares what the search finds with brute force over the shard for two kinds of vectors: AUDIT of the queries, drawn
+    at random, and AUDIT made by ``probes``, which have links even where queries hardly do. With ``same`` the queries are the
+    graph's own vectors, and a vector's match with itself is no link. Where no beam passes, brute force is the result.
     """
     n = len(queries)
-    order = np.random.default_rng(n).permutation(n)
-    audited: list[tuple[int, np.ndarray]] = []
-    for at in range(0, n, AUDIT):
-        some = order[at : at + AUDIT]
-        truth = queries[some] @ graph.exact.T >= threshold
-        if same:
-            truth[np.arange(len(some)), some] = False
-        audited += [(int(some[k]), truth[k]) for k in np.flatnonzero(truth.any(axis=1))]
-        if len(audited) >= AUDIT:
-            break
-    total, beam = sum(int(truth.sum()) for _, truth in audited), BEAM
-    while len(audited) >= AUDIT and beam < len(graph.exact):
-        found = sum(int(truth[graph.near(queries[i], threshold, beam)].sum()) for i, truth in audited)
+    some = np.random.default_rng(n).permutation(n)[:AUDIT]
+    real = queries[some] @ graph.exact.T >= threshold
+    if same:
+        real[np.arange(len(some)), some] = False
+    made = probes(graph, threshold)
+    truth = np.concatenate([real, made @ graph.exact.T >= threshold])
+    audited = [(q, t) for q, t in zip(np.concatenate([queries[some], made]), truth, strict=True) if t.any()]
+    total, beam = sum(int(t.sum()) for _, t in audited), BEAM
+    while beam < len(graph.exact):
+        found = sum(int(t[graph.near(q, threshold, beam)].sum()) for q, t in audited)
         if found >= RECALL * total:
-            return [graph.near(q, threshold, beam) for q in queries], beam
+            return [graph.near(q, threshold, beam) for q in queries], beam, (total, found)
         beam *= 2
-    return exact(queries, graph, threshold), len(graph.exact)
+    return exact(queries, graph, threshold), len(graph.exact), (total, total)
 
 
-def link(a: Graph, b: Graph | None, threshold: float) -> np.ndarray:
-    """Which vectors of ``a`` link with which of ``b`` (or of ``a`` itself): found from either side."""
+def link(a: Graph, b: Graph | None, threshold: float) -> tuple[np.ndarray, tuple[int, int]]:
+    """Which vectors of ``a`` link with which of ``b`` (or of ``a`` itself), found from either side; and the audit's counts."""
     other = a if b is None else b
     found = np.zeros((len(a.exact), len(other.exact)), bool)
-    for i, hits in enumerate(search(a.exact, other, threshold, same=b is None)[0]):
-        found[i, hits] = True
+    hits, _, (total, seen) = search(a.exact, other, threshold, same=b is None)
+    for i, of_i in enumerate(hits):
+        found[i, of_i] = True
     if b is None:
         found |= found.T
         np.fill_diagonal(found, False)
     else:
-        for j, hits in enumerate(search(b.exact, a, threshold)[0]):
-            found[hits, j] = True
-    return found
+        hits, _, (more, also) = search(b.exact, a, threshold)
+        total, seen = total + more, seen + also
+        for j, of_j in enumerate(hits):
+            found[of_j, j] = True
+    return found, (total, seen)
 
 
 def forest(found: np.ndarray, same: bool) -> list[tuple[int, int]]:
@@ -208,7 +221,7 @@ _KEYS = ["label", "dim"]
 
 
 def _build(table: pa.Table) -> pa.Table:
-    ids = table["id"].to_numpy()
+    ids = table["node"].to_numpy()
     order = np.argsort(ids, kind="stable")
     vectors = np.array(table["vector"].combine_chunks().flatten()).reshape(len(ids), -1)[order]
     graph = Graph(vectors.astype(np.float64), seed=int(table["shard"][0].as_py()))
@@ -224,14 +237,18 @@ def _pair(threshold: float):
         loaded = [pickle.loads(blob) for _, blob in sides]
         (ids, n, a), (other_ids, other_n, b) = loaded[0], loaded[-1]
         same = len(loaded) == 1
-        found = link(a, None if same else b, threshold)
+        found, (total, seen) = link(a, None if same else b, threshold)
+        # a node's links, or a link between nodes, or what the audit counted
         out = list(zip(ids.tolist(), (found @ other_n).tolist(), [None] * len(ids), strict=True))
         if not same:
             out += zip(other_ids.tolist(), (n @ found).tolist(), [None] * len(other_ids), strict=True)
         out = [x for x in out if x[1]]
         out += [(int(ids[i]), 0, int(other_ids[j])) for i, j in forest(found, same)]
-        columns = list(zip(*out, strict=True)) if out else [[], [], []]
-        return pa.table([pa.array(c, pa.int64()) for c in columns], ["id", "links", "other"])
+        out = [(None, total, seen), *out]
+        columns = list(zip(*out, strict=True))
+        names = ["node", "links", "other"]
+        keys = {c: pa.chunked_array([pa.repeat(table[c][0], len(out))]) for c in _KEYS}
+        return pa.table(keys | {name: pa.array(c, pa.int64()) for name, c in zip(names, columns, strict=True)})
 
     return run
 
@@ -244,26 +261,24 @@ def near_duplicates(
     threshold: float = 0.98,
     shard: int | None = None,
 ) -> DataFrame:
-    """(id, n_links, component, kept) for every row, comparing rows of one label and one number of components.
+    """(id, n_links, component, kept, recall) for every row, comparing rows of one label and one number of components.
 
-    Equal vectors are one node, with their number; the nodes of a label are dealt to shards of at most about SHARD, each
-    with a graph, and every node asks every shard, from either side of each pair of shards. ``n_links`` counts the
+    Equal vectors of a label are one node, with their number; the nodes of a label are dealt to shards of at most about SHARD,
+    each with a graph, and every node asks every shard, from either side of each pair of shards. ``n_links`` counts the
     other rows of cosine ``threshold`` or more that were found, ``component`` is the smallest id that links lead to, and
-    a row is kept if that is its own. Null labels, and vectors that are null, empty, zero or hold null or non-finite
-    components, link with nothing. Rows of a null id take part, but give no component its name; a row that occurs
-    again links with itself. Different vectors under one id count as one node of the graph of links.
+    a row is kept if that is its own. ``recall`` is the share of links that the audits of the row's label found. Null labels,
+    and vectors that are null, empty, zero or hold null or non-finite components, link with nothing. Nodes are no ids: rows of
+    one id but of other labels or vectors are rows like any others, and those of a null id take part but give no component its
+    name. A row that occurs again links with itself. An empty table gives none, and no other column is read.
     """
-    spark = vectors.sparkSession
     parts = F.col(vector_col).cast("array<double>")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), parts.alias("vector"))
     sound = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.col("label").isNotNull() & F.col("vector").isNotNull() & sound & F.exists("vector", lambda x: x != 0)
     rows = rows.withColumn("vector", F.when(F.coalesce(usable, F.lit(False)), F.col("vector")))
     valid = rows.where("vector is not null").withColumn("dim", F.size("vector"))
-    # a name for each distinct vector: its smallest id, or where all its ids are null a number below every long id used
     distinct = valid.groupBy(*_KEYS, "vector").agg(F.min("id").alias("least"), F.count("*").alias("n"))
-    distinct = distinct.withColumn("id", F.coalesce("least", F.xxhash64("label", "vector")))
-    distinct = written(distinct, "vectors")
+    distinct = written(distinct.withColumn("node", F.monotonically_increasing_id()), "vectors")
     size = shard or SHARD
     shards = distinct.groupBy(*_KEYS).agg(F.ceil(F.count("*") / F.lit(size)).cast("int").alias("shards"))
     dealt = distinct.join(shards, _KEYS).withColumn("shard", F.pmod(F.xxhash64("vector"), F.col("shards")).cast("int"))
@@ -275,16 +290,27 @@ def near_duplicates(
     other = F.explode(F.sequence(F.lit(0), F.col("shards") - 1))
     sides = index.withColumn("other", other).withColumns({"low": F.least("shard", "other"), "high": F.greatest("shard", "other")})
     found = written(
-        sides.groupBy(*_KEYS, "low", "high").applyInArrow(_pair(threshold), "id long, links long, other long"), "found"
+        sides.groupBy(*_KEYS, "low", "high").applyInArrow(_pair(threshold), f"label {kind}, dim int, node long, links long, other long"),
+        "found",
     )
-    linked = found.groupBy("id").agg(F.sum("links").alias("links"))
-    joined = components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
-    names = distinct.select("id", "least").withColumnRenamed("id", "node")
-    best = joined.join(names, "node").groupBy("component").agg(F.min("least").alias("name"))
-    named = joined.join(best, "component").select(F.col("node").alias("id"), "name")
-    groups = distinct.join(linked, "id", "left").join(named, "id", "left").select(
-        *_KEYS, "vector", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("name", "least").alias("component")
+    audits = found.where("node is null").groupBy(*_KEYS).agg((F.sum("other") / F.sum("links")).alias("recall"))
+    linked = found.where("node is not null").groupBy("node").agg(F.sum("links").alias("links"))
+    joined = components(
+        found.where("node is not null and other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))
+    )
+    best = joined.join(distinct.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("name"))
+    named = joined.join(best, "component").select("node", "name")
+    groups = (
+        distinct.join(linked, "node", "left")
+        .join(named, "node", "left")
+        .select(
+            *_KEYS, "vector", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
+            F.coalesce("name", "least").alias("component"),
+        )
     )
-    out = valid.join(groups, [*_KEYS, "vector"]).select("id", "n_links", "component")
-    alone = rows.where("vector is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
-    return out.unionAll(alone).withColumn("kept", F.coalesce(F.col("id") == F.col("component"), F.lit(False)))
+    out = valid.join(groups, [*_KEYS, "vector"]).join(audits, _KEYS, "left").select("id", "n_links", "component", "recall")
+    alone = rows.where("vector is null").select(
+        "id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"), F.lit(None).cast("double").alias("recall")
+    )
+    out = out.unionAll(alone).withColumn("kept", F.coalesce(F.col("id") == F.col("component"), F.lit(False)))
+    return out.select("id", "n_links", "component", "kept", "recall")

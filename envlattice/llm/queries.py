@@ -150,12 +150,41 @@ def op8_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
 
 
+OP8_SQL = """
+WITH RECURSIVE rows_ AS (SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+sound AS (
+  SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM rows_
+  WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.r AS a, b.r AS b FROM sound a JOIN sound b ON a.label = b.label AND a.r <> b.r AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98),
+reached(r, s) AS (SELECT r, r FROM rows_ UNION SELECT reached.r, links.b FROM reached JOIN links ON reached.s = links.a)
+SELECT v.vec_id, (SELECT count(*) FROM links WHERE a = v.r)::BIGINT AS n_links, min(o.vec_id) AS component_id,
+       v.vec_id IS NOT DISTINCT FROM min(o.vec_id) AS kept
+FROM rows_ v JOIN reached USING (r) JOIN rows_ o ON o.r = reached.s GROUP BY v.r, v.vec_id
+"""
+
+
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of ``documents`` without the words of 35-word windows that start elsewhere too."""
     found = substrings.remove_repeated(table(spark, sf_dir, "documents"), window=35)
     return substrings.digest(found).withColumnRenamed("id", "doc_id")
 
 
+OP9_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\v\\f\\r]+') AS w FROM documents),
+places AS (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35),
+windows AS (SELECT r, i, array_to_string(w[i:i + 34], ' ') AS words FROM places),
+again AS (SELECT words FROM windows GROUP BY words HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, i + unnest(range(0, 35)) AS i FROM windows SEMI JOIN again USING (words)),
+words AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+kept AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS t FROM words ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records of ``pages``, as read back from the archives they were written to."""
     path = fresh_path(spark, "archives")
@@ -164,6 +193,20 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+OP10_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+d AS (SELECT *, sha1(payload) AS h, max(page_id) OVER (PARTITION BY payload) AS first FROM p),
+fives AS (SELECT *, list_transform(range(0, 8), lambda k: ('0x' || substr(h, (5 * k + 1)::INT, 5))::BIGINT) AS bits FROM d)
+SELECT page_id, octet_length(encode(payload))::BIGINT AS payload_bytes,
+       list_reduce(list_transform(range(0, 32), lambda k:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1 + ((bits[k // 4 + 1] >> (15 - 5 * (k % 4))::BIGINT) & 31))::INT, 1)),
+         lambda a, b: a || b) AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM fives
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_mixing, op2_quality_votes, op3_token_counts, op4_secrets, op5_simhash, op6_bpe, op7_url_filter, op8_hnsw, op9_substrings, op10_warc,
@@ -172,4 +215,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op7_url_filter": OP7_SQL}
+    return {
+        "op1_mixing": OP1_SQL, "op7_url_filter": OP7_SQL, "op8_hnsw": OP8_SQL, "op9_substrings": OP9_SQL, "op10_warc": OP10_SQL,
+    }

@@ -79,6 +79,26 @@ def test_query_columns(spark):
     assert queries.op8_hnsw(spark, "/root/testdata/sf0.001").columns == ["vec_id", "n_links", "component_id", "kept"]
 
 
+def test_rows_that_share_an_id_across_labels(spark):
+    rng = np.random.default_rng(8)
+    a, b = rng.normal(size=8), rng.normal(size=8)
+    near = lambda v: (v + rng.normal(size=8) * 1e-3).tolist()
+    rows = [(1, near(a), 1), (2, near(a), 1), (1, near(b), 2), (3, near(b), 2), (4, near(b), 2), (1, near(a), 3), (5, near(b), 1), (5, near(a), 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert got(hnsw.near_duplicates(df)) == brute(rows)
+
+
+def test_recall_is_measured_where_links_are_rare(spark):
+    v = np.random.default_rng(9).normal(size=(500, 16))
+    rows = [(i, x.tolist(), 1) for i, x in enumerate(v)] + [(1000, (v[0] + 1e-3).tolist(), 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    out = hnsw.near_duplicates(df, shard=200)
+    assert got(out) == brute(rows)
+    assert 0.9 <= out.agg({"recall": "min"}).first()[0] <= 1
+    graph = hnsw.Graph(v)
+    assert (hnsw.probes(graph, 0.98) @ graph.exact.T >= 0.98).any(axis=1).all()
+
+
 def sparse(n=600, pairs=20):
     rng = np.random.default_rng(4)
     v = rng.normal(size=(n, 16))
@@ -94,6 +114,6 @@ def test_a_search_that_finds_nothing_but_the_query_fails_the_audit(monkeypatch,
     if not across:
         np.fill_diagonal(want, False)
     monkeypatch.setattr(hnsw.Graph, "near", lambda g, q, t, beam: np.flatnonzero(g.exact @ q >= 1 - 1e-9))
-    assert want.any() and (hnsw.link(a, b, 0.98) == want).all()
+    assert want.any() and (hnsw.link(a, b, 0.98)[0] == want).all()
     dense = hnsw.Graph(np.random.default_rng(5).normal(size=16) + np.random.default_rng(6).normal(size=(400, 16)) * 0.01)
-    assert hnsw.link(dense, None, 0.98).sum() > 400
+    assert hnsw.link(dense, None, 0.98)[0].sum() > 400
