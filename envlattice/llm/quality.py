@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
 from .substrings import word_hashes
 
 SYMBOLS = b"#*$%&|<>"
@@ -106,8 +107,6 @@ class Rule:
         return F.when(against, -1).when(share.between(*self.good), 1).otherwise(0).cast("int")
 
 
-#: The largest share of a rule's votes on good texts that may be votes against.
-MISTAKES = 0.05
 #: No share is within these bounds: the rule votes against or abstains, as the symptom's absence says little.
 NEVER = (1.0, 0.0)
 #: Shares below the first or above the second bound of ``bad`` are voted against, those within ``good`` for.
@@ -116,58 +115,53 @@ RULES = [
     Rule("letters", "n_letters", "word_chars", (0.93, 1), (0.75, 2)),
     Rule("bars", "n_bars", "n_words", NEVER, (-1, 0.1)),
     Rule("exclamations", "n_marks", "n_words", NEVER, (-1, 0.2)),
-    Rule("capitals", "n_upper", "n_letters", (0, 0.1), (-1, 0.3)),
-    Rule("word length", "word_chars", "n_words", (3.5, 6.5), (2.5, 7.0)),
-    Rule("distinct words", "n_distinct_words", "n_words", (0.4, 1), (0.3, 2)),
+    Rule("capitals", "n_upper", "n_letters", NEVER, (-1, 0.3)),
+    Rule("word length", "word_chars", "n_words", NEVER, (2.5, 7.0)),
+    Rule("distinct words", "n_distinct_words", "n_words", NEVER, (0.3, 2)),
     Rule("repeated lines", "n_dup_lines", "n_lines", NEVER, (-1, 0.5)),
     Rule("repeated windows", "n_repeat_words", "n_words", NEVER, (-1, 0.3)),
-    Rule("same word again", "n_adjacent_repeats", "n_words", NEVER, (-1, 0.15)),
+    Rule("same word again", "n_adjacent_repeats", "n_words", (0, 0.02), (-1, 0.15)),
 ]
 
 
 @dataclass(frozen=True)
 class Votes:
-    """The log-odds of quality that a vote against and a vote for add, by rule, and the prior's; abstaining adds none."""
+    """The log-odds of quality that a vote against, none and one for add, by rule, and the prior's."""
 
     prior: float
-    weights: list[tuple[float, float]]
+    weights: list[tuple[float, float, float]]
 
     def log_odds(self, votes: list[Column]) -> Column:
         out = F.lit(self.prior)
-        for vote, (against, pro) in zip(votes, self.weights, strict=True):
-            out = out + F.when(vote < 0, against).when(vote > 0, pro).otherwise(0.0)
+        for vote, (against, none, pro) in zip(votes, self.weights, strict=True):
+            out = out + F.when(vote < 0, against).when(vote > 0, pro).otherwise(none)
         return out
 
 
-def fit(patterns: np.ndarray, n: np.ndarray, rounds: int = 200, smooth: float = 1.0) -> Votes:
+def fit(patterns: np.ndarray, n: np.ndarray, rounds: int = 300, smooth: float = 1.0) -> Votes:
     """Expectation-maximisation of a two-class model: rules vote independently given the class, with unknown accuracies.
 
-    ``patterns`` are the distinct rows of votes (-1, 0, 1) and ``n`` their numbers of documents. Starts from the share
-    of votes for, so that the class that votes favour is the good one. Probabilities are smoothed by pseudo-counts.
+    ``patterns`` are the distinct rows of votes (-1, 0, 1) and ``n`` their numbers of documents. A rule's accuracy is how often
+    it votes for, against or not at all in either class, all estimated. Starts from the balance of votes, so that the class
+    that votes favour is the good one; nothing else is set. Probabilities are smoothed by pseudo-counts.
     """
     if not len(n):
-        return Votes(0.0, [(0.0, 0.0)] * patterns.shape[1])
-    said = np.stack([patterns == v for v in (-1, 1)], axis=2).astype(float)  # pattern, rule, vote
-    against = (patterns < 0).sum(axis=1)
-    good = np.where(against == 0, 0.95, np.where(against == 1, 0.5, 0.05))
+        return Votes(0.0, [(0.0, 0.0, 0.0)] * patterns.shape[1])
+    said = np.stack([patterns == v for v in (-1, 0, 1)], axis=2).astype(float)  # pattern, rule, vote
+    good = 1 / (1 + np.exp(-2.0 * patterns.sum(axis=1)))
     prior = odds = None
     for _ in range(rounds):
         tables = []
         for weight in (n * good, n * (1 - good)):
             t = np.einsum("p,prv->rv", weight, said) + smooth
             tables.append(t / t.sum(axis=1, keepdims=True))
-        # rules are better than chance: one that votes against good texts at all often is held to MISTAKES
-        wrong = np.minimum(tables[0][:, 0], MISTAKES)
-        tables[0] = np.stack([wrong, 1 - wrong], axis=1)
         share = ((n * good).sum() + smooth) / (n.sum() + 2 * smooth)
         prior, odds = float(np.log(share / (1 - share))), np.log(tables[0] / tables[1])
         new = 1 / (1 + np.exp(-np.clip(prior + np.einsum("prv,rv->p", said, odds), -500, 500)))
         if np.abs(new - good).max() < 1e-9:
             break
         good = new
-    # a vote for must not speak against quality nor the other way round: no rule is turned upside down
-    weights = [(float(min(a, 0)), float(max(p, 0))) for a, p in odds]
-    return Votes(prior, weights)
+    return Votes(prior, [tuple(map(float, of_rule)) for of_rule in odds])
 
 
 def judge(
@@ -177,14 +171,14 @@ def judge(
 
     ``quality`` is the posterior probability under the votes' model, which is fitted over all rows: they are counted by
     vote pattern, of which there are at most 3 to the number of rules whatever the input, and only those counts reach the
-    driver. A row is kept if it passes the hard rules and its probability is at least ``threshold``. Null texts have
-    no words and fail; repeated rows are judged alike; an empty table gives an empty result. Rows that fail the hard rules
-    vote too.
+    driver. Texts are counted once, in a written table. A row is kept if it passes the hard rules and its probability is at
+    least ``threshold``. Null and empty texts have no words and fail; texts of any length are counted whole; repeated rows are
+    judged alike; columns of any name are only carried along; an empty table gives an empty result. Rows that fail the hard
+    rules vote too.
     """
     c = lambda name: F.col(f"quality_counts.{name}")
-    voted = features(docs, text_col, keep).withColumn("quality_votes", F.array(*(r.vote(c) for r in rules)))
-    counted = features(docs, text_col, []).select(F.array(*(r.vote(c) for r in rules)).alias("quality_votes"))
-    rows = counted.groupBy("quality_votes").count().collect()
+    voted = written(features(docs, text_col, keep).withColumn("quality_votes", F.array(*(r.vote(c) for r in rules))), "votes")
+    rows = voted.groupBy("quality_votes").count().collect()
     patterns = np.array([r["quality_votes"] for r in rows], np.int64).reshape(-1, len(rules))
     order = np.lexsort(patterns.T)
     model = fit(patterns[order], np.array([r["count"] for r in rows], float)[order])

@@ -79,6 +79,31 @@ def op2_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("row.doc_id", *(f"quality_counts.{c}" for c in counts), "base_failed", "kept", "quality")
 
 
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op2 that SQL can express: the hard rules' counts and verdict."""
+    found = op2_quality_votes(spark, sf_dir)
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+QUALITY_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+split AS (SELECT *, regexp_extract_all(text, '[^ \\t\\n\\v\\f\\r]+') AS w FROM d),
+places AS (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM split WHERE len(w) >= 8),
+windows AS (SELECT r, i, array_to_string(w[i:i + 7], ' ') AS words FROM places),
+again AS (SELECT r, words FROM windows GROUP BY r, words HAVING count(*) > 1),
+covered AS (SELECT DISTINCT r, i + unnest(range(0, 8)) AS i FROM windows SEMI JOIN again USING (r, words)),
+repeats AS (SELECT r, count(*) AS n FROM covered GROUP BY r),
+lines AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
+dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^ \\t\\n\\v\\f\\r]') GROUP BY r),
+counts AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines,
+         coalesce(repeats.n, 0)::BIGINT AS n_repeat_words
+  FROM split LEFT JOIN dup USING (r) LEFT JOIN repeats USING (r))
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counts
+"""
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and word pieces of every text of ``documents``."""
     found = tokencount.token_counts(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
@@ -209,12 +234,12 @@ FROM fives
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
-        op1_mixing, op2_quality_votes, op3_token_counts, op4_secrets, op5_simhash, op6_bpe, op7_url_filter, op8_hnsw, op9_substrings, op10_warc,
+        op1_mixing, op2_quality_votes, quality_counts, op3_token_counts, op4_secrets, op5_simhash, op6_bpe, op7_url_filter, op8_hnsw, op9_substrings, op10_warc,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op1_mixing": OP1_SQL, "op7_url_filter": OP7_SQL, "op8_hnsw": OP8_SQL, "op9_substrings": OP9_SQL, "op10_warc": OP10_SQL,
+        "op1_mixing": OP1_SQL, "quality_counts": QUALITY_SQL, "op7_url_filter": OP7_SQL, "op8_hnsw": OP8_SQL, "op9_substrings": OP9_SQL, "op10_warc": OP10_SQL,
     }

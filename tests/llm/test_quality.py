@@ -59,6 +59,15 @@ def test_estimated_accuracies_of_simulated_rules():
     votes = np.where(rng.random((50_000, 5)) < 0.2, 0, np.where(says, 1, -1))
     patterns, n = np.unique(votes, axis=0, return_counts=True)
     model = quality.fit(patterns, n.astype(float))
-    odds = model.prior + sum(np.where(votes[:, j] < 0, a, np.where(votes[:, j] > 0, p, 0)) for j, (a, p) in enumerate(model.weights))
+    odds = model.prior + sum(np.choose(votes[:, j] + 1, w) for j, w in enumerate(model.weights))
     assert ((odds > 0) == good).mean() > 0.97
-    assert [a for a, _ in model.weights] == sorted(a for a, _ in model.weights) or model.weights[0][0] < model.weights[-1][0]
+    assert model.weights[0][0] < model.weights[-1][0] < 0 < model.weights[-1][2] < model.weights[0][2]
+
+
+def test_a_rule_that_is_wrong_more_often_than_right_is_turned_round():
+    rng = np.random.default_rng(4)
+    good = rng.random(50_000) < 0.6
+    says = np.where(rng.random((50_000, 5)) < [0.9, 0.9, 0.9, 0.9, 0.1], good[:, None], ~good[:, None])
+    patterns, n = np.unique(np.where(says, 1, -1), axis=0, return_counts=True)
+    weights = quality.fit(patterns, n.astype(float)).weights
+    assert weights[0][0] < 0 < weights[0][2] and weights[4][2] < 0 < weights[4][0]
