@@ -10,8 +10,8 @@ from .common import n_words
 #: Weights at equally spaced points of training, for the sources in order of code point, again and again. Their means
 #: are the sources' weights: the first kind comes early, the second evenly, the third late.
 SCHEDULES = [[4.5, 1.5], [1.0, 1.0], [1.0, 3.0]]
-#: Rows of a source and bucket that one task numbers.
-BUCKET_ROWS = 50_000
+#: Rows of a source and bucket that are numbered together, on average.
+BUCKET_ROWS = 2_000
 
 
 def mean_weight(schedule: list[float]) -> float:
@@ -31,7 +31,8 @@ def targets(totals: DataFrame, share: float, most: float, schedules: list[list[f
 
     The targets are in proportion to the weights and sum to ``share`` of all sizes, but none is above ``most`` times its
     source's size: what is above is reshared by weight. Sources in order of the size that a unit of weight can get
-    reach their limit one after the other, so the level at which the rest stand follows from running sums.
+    reach their limit one after the other, so the level at which the rest stand follows from running sums. They need all
+    sources in one order, so one task has a row of each source, of six numbers; the rows of documents are not there.
     """
     of_all = Window.orderBy(F.col("source").isNull(), "source")
     ranked = totals.withColumn("rank", F.row_number().over(of_all))
@@ -88,17 +89,18 @@ def plan(
 ) -> DataFrame:
     """(row, id, size, source_size, target, taken, offset, schedule) of every row; ``row`` is a struct of ``keep``.
 
-    Within a source, rows stand in order of their id's MD5, ``offset`` words after its first; the mix runs through them
-    again and again until the target is met, so ``taken`` sums to the whole part of the target and no row is taken
-    more than ``most`` times. Ties of id fall in order of size. Null sources are a source of their own, the last; null
-    ids stand first; null texts and texts without words have size 0 and are never taken. An empty table gives none.
+    Within a source, rows stand in order of the MD5 of their id and size, ``offset`` words after its first; the mix runs
+    through them again and again until the target is met, so ``taken`` sums to the whole part of the target and no row is
+    taken more than ``most`` times. Rows that share an id, or have none, are dealt by their sizes; those of one id and size are
+    interchangeable. Null sources are a source of their own, the last; null texts and texts without words have size 0 and are
+    never taken. Columns of any name are only carried along, and an empty table gives none.
 
     The running sums of a source are taken by bucket of the MD5 and then over buckets, so that one task never numbers a
     source, however large. Rows are shuffled once, by source and bucket.
     """
     size = n_words(F.col("text")) if size is None else size
     keep = docs.columns if keep is None else keep
-    order = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    order = F.md5(F.concat_ws("/", F.col(id_col).cast("string"), F.lit(""), size.cast("string")))
     rows = docs.select(
         (F.struct(*keep) if keep else F.lit(None).cast("string")).alias("row"),
         F.col(id_col).alias("id"),

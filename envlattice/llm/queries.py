@@ -35,9 +35,8 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP1_SQL = """
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\v\\f\\r]+')), 0)::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, '')) AS o
-  FROM documents),
+  SELECT *, md5(concat_ws('/', doc_id::VARCHAR, '', size::VARCHAR)) AS o
+  FROM (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\v\\f\\r]+')), 0)::BIGINT AS size FROM documents)),
 totals AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 ranked AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM totals),
 weighed AS (
