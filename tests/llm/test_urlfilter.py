@@ -27,7 +27,9 @@ def brute(url, rules):
     return host, path, best and best[2], best[3] if best else "allow"
 
 
-def test_many_rules(spark):
+@pytest.mark.parametrize("bits", [urlfilter.MAX_BITS, 400])
+def test_many_rules(spark, monkeypatch, bits):
+    monkeypatch.setattr(urlfilter, "MAX_BITS", bits)
     rng = random.Random(0)
     label = lambda: rng.choice("abcd") * rng.randint(1, 2)
     rules = {}
@@ -43,6 +45,17 @@ def test_many_rules(spark):
     assert got == {i: brute(u, list(rules.items())) for i, u in enumerate(urls)}
 
 
+def test_thousands_of_rules_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(urlfilter, "MAX_BITS", 1 << 15)
+    rules = [(f"h{i}.x{i % 7}/" + "abc/" * (i % 3), "block" if i % 2 else "allow") for i in range(6000)]
+    urls = [(i, f"http://www.h{i}.x{i % 7}/abc/abc/q") for i in range(12_000)]
+    urls += urls[:500]  # repeated rows
+    df = spark.createDataFrame(urls, "page_id long, url string")
+    got = sorted(((r.row.page_id, r.rule, r.verdict) for r in urlfilter.judge(df, spark.createDataFrame(rules, "rule string, verdict string")).collect()), key=str)
+    fits = dict(enumerate(rules))
+    assert got == sorted(((i, *fits.get(i, (None, "allow"))) for i, _ in urls), key=str)
+
+
 def test_cascade_is_exact(spark):
     universe = spark.range(200_000).select(F.concat(F.lit("k"), "id").alias("key"))
     listed = universe.where("hash(key) % 7 = 0").unionAll(spark.createDataFrame([("elsewhere",)], "key string"))
