@@ -54,7 +54,7 @@ def test_stages_one_by_one(spark):
 
 def test_whole_run(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert out.columns == ["doc_id", "n_tokens", "ids"] and out.count() > 50
+    assert out.columns == ["doc_id", "n_tokens", "ids", "place"] and out.count() > 50
 
 
 def test_odd_rows_through_all_stages(spark):
@@ -64,20 +64,22 @@ def test_odd_rows_through_all_stages(spark):
     for frame in (docs, docs.limit(0)):
         for _, stage in corpus_pipeline.STAGES:
             frame = stage(spark, frame, D)
-        assert frame.columns == ["doc_id", "n_tokens", "ids"]
+        assert frame.columns == ["doc_id", "n_tokens", "ids", "place"]
         frame.collect()
 
 
-def test_tokens_come_in_the_order_that_the_mix_wrote(spark, tmp_path):
+def test_tokens_have_the_place_that_the_mix_wrote(spark, tmp_path):
     rows = [(i * 7 % 60, f"word {i} " * (1 + i), "a") for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     place = F.expr("doc_id * 43 % 60")  # the inverse of 7 modulo 60
     docs.repartitionByRange(6, place).sortWithinPartitions(place).write.parquet(f"{tmp_path}/mixed")
     read = spark.read.parquet(f"{tmp_path}/mixed")
     assert len(read.inputFiles()) > 1
-    corpus_pipeline.tokens(spark, read, D).write.parquet(f"{tmp_path}/ids")
-    encoded = corpus_pipeline.in_written_order(spark.read.parquet(f"{tmp_path}/ids"))
     want = [i for i, *_ in rows]
     assert [r.doc_id for r in read.collect()] != want
-    assert [r.doc_id for r in corpus_pipeline.tokens(spark, read, D).collect()] == want
-    assert [r.doc_id for r in encoded.collect()] == want
+    assert [r.doc_id for r in corpus_pipeline.tokens(spark, read, D).orderBy("place").collect()] == want
+
+
+def test_a_run_is_in_training_order(spark):
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
+    assert [r.place for r in out] == sorted(r.place for r in out) and len({r.place for r in out}) == len(out)
