@@ -184,3 +184,12 @@ def line_text(text: Column, line: Column) -> Column:
 
 def count_lines(text: Column) -> Column:
     return F.when(text == "", 0).otherwise(F.size(F.split(text, "\n")))
+
+
+def markdown_cell(value: Column, limit: int = 60, empty: str = "—") -> Column:
+    """A markdown cell: one line, marks escaped, of bounded length; a dash for nothing."""
+    flat = F.regexp_replace(value, "\r?\n", " ")
+    for mark in "|`":
+        flat = F.replace(flat, F.lit(mark), F.lit("\\" + mark))
+    short = F.when(F.length(flat) <= limit, flat).otherwise(F.concat(F.substring(flat, 1, limit - 1), F.lit("…")))
+    return F.when(F.coalesce(value, F.lit("")) == "", empty).otherwise(short)

@@ -217,3 +217,32 @@ def summarise(found: DataFrame, rel: Relations, config: Config, files_scanned: i
     return totals.crossJoin(variables).crossJoin(by_rule).withColumns(
         {"files_scanned": F.lit(files_scanned), "diagnostics": F.lit(diagnostics)}
     )
+
+
+def in_file_order() -> list[Column]:
+    return [F.col("line"), F.col("column"), F.col("rule_id"), F.coalesce("variable", F.lit(""))]
+
+
+def capped(found: DataFrame, limit: int = 20) -> DataFrame:
+    """The first ``limit`` findings of every file, with ``hidden``, how many more it has: the feature is the cap."""
+    placed = found.withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy(*in_file_order()))).where(F.col("n") <= limit)
+    hidden = found.groupBy("file").agg(F.greatest(F.count("*") - limit, F.lit(0)).alias("hidden"))
+    return placed.join(hidden, "file").drop("n")
+
+
+def worst(found: DataFrame) -> DataFrame:
+    """(rule_id, n, worst) of every rule that fired: its findings, and the highest severity among them."""
+    highest = F.max(F.struct(rank(F.col("severity")), "severity"))["severity"]
+    return found.groupBy("rule_id").agg(F.count("*").alias("n"), highest.alias("worst"))
+
+
+def placed(found: DataFrame, *order: Column) -> DataFrame:
+    """``found`` with ``position``, from 0 on in an order: numbered by file, and the files' totals summed up before that.
+
+    The order starts with the file, so no task has more than one file's findings, and one task a row for each file.
+    """
+    totals = found.groupBy("file").agg(F.count("*").alias("in_file"))
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("file", F.coalesce(F.sum("in_file").over(before), F.lit(0)).alias("start"))
+    inside = F.row_number().over(Window.partitionBy("file").orderBy(*(order or in_file_order())))
+    return found.withColumn("inside", inside).join(starts, "file").withColumn("position", F.col("start") + F.col("inside") - 1).drop("start", "inside")

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
+import tempfile
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from envlattice.config import Config
-from envlattice.functions import lists, text
+from envlattice.functions import globs, lists, text
 from envlattice.operators import catalogue, findings, hygiene, relations, rollup
 from envlattice.plans import rules, testdata
 from envlattice.plans.rules import quoted
-from envlattice.sinks import dotenv, report
+from envlattice.sinks import documents, dotenv, report
+from envlattice.sources import dotenv as reader
+from envlattice.sources import tree
 
 O = testdata.ORACLE  # noqa: E741
 QUERIES: dict = {}
@@ -53,9 +60,32 @@ def _col(df: DataFrame, *columns: str) -> DataFrame:
 # Filters and predicates
 
 
-@on_relations("fil01_classify", "SELECT DISTINCT file, kind, shared, dev_only FROM decls")
-def _classify(rel):
-    return rel.decls.select("file", "kind", "shared", "dev_only").distinct()
+_PARTS = (
+    "SELECT o_orderkey, concat(CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'app/' WHEN 2 THEN 'production/' ELSE 'a/test/' END, "
+    "CASE o_custkey % 12 WHEN 0 THEN '.env' WHEN 1 THEN '.env.example' WHEN 2 THEN 'prod.env' WHEN 3 THEN '.env.local' WHEN 4 THEN "
+    "'.env.Production.local' WHEN 5 THEN '.env.staging' WHEN 6 THEN 'env.template' WHEN 7 THEN '.env.dist' WHEN 8 THEN '.env.e2e-x' "
+    "WHEN 9 THEN 'web_dev.env' WHEN 10 THEN '.env.live.sample' ELSE '.env.unheard' END) AS path FROM "
+)
+
+
+@query(
+    "fil01_classify",
+    "SELECT o_orderkey, path, kind, kind NOT IN ('local', 'example', 'template') AS shared, kind IN ('local', 'test') AS dev_only FROM "
+    "(SELECT *, CASE regexp_extract(path, '[^/]*$') WHEN '.env' THEN 'dev' WHEN '.env.example' THEN 'example' WHEN 'prod.env' THEN 'production' "
+    "WHEN '.env.local' THEN 'local' WHEN '.env.Production.local' THEN 'local' WHEN '.env.staging' THEN 'test' WHEN 'env.template' THEN 'template' "
+    f"WHEN '.env.dist' THEN 'example' WHEN '.env.e2e-x' THEN 'test' WHEN '.env.live.sample' THEN 'example' ELSE 'dev' END AS kind FROM ({_PARTS} orders))",
+)
+def _classify(spark, sf_dir):
+    """The reader's own classification, a file a row, as the scan asks for it."""
+    paths = spark.sql(f"{_PARTS} {{orders}}", orders=table(spark, sf_dir, "orders"))
+
+    def run(batches):
+        for batch in batches:
+            found = [reader.classify(p) for p in batch.column(1).to_pylist()]
+            columns = zip(*found, strict=True) if found else [[], [], []]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, map(list, columns))], ["o_orderkey", "path", "kind", "shared", "dev_only"])
+
+    return paths.mapInArrow(run, "o_orderkey long, path string, kind string, shared boolean, dev_only boolean")
 
 
 @on_relations("fil03_secretish", f"SELECT DISTINCT name, {rules._SECRETISH} AS secretish FROM decls")
@@ -241,24 +271,19 @@ def _variables(rel):
     rules.FINDINGS_SQL,
 )
 def _groups(rel):
-    found = findings.findings(rel)
-    order = Window.orderBy("file", "line", "column", "rule_id", F.coalesce("variable", F.lit("")))
-    placed = found.withColumn("position", F.row_number().over(order) - 1)
-    grouped = report.grouped(placed, "file")
+    grouped = report.grouped(findings.placed(findings.findings(rel)), "file")
     ends = [F.element_at("findings", i).cast("long").alias(n) for i, n in ((1, "first"), (-1, "last"))]
     return grouped.select("key", F.col("count").alias("n"), *ends)
 
 
 @on_relations(
     "agg08_rule_severity",
-    "SELECT rule_id, count(*)::BIGINT AS n, max(CASE severity WHEN 'error' THEN 3 WHEN 'warn' THEN 2 ELSE 1 END)::BIGINT AS worst "
-    "FROM findings GROUP BY rule_id",
+    "SELECT rule_id, count(*)::BIGINT AS n, arg_max(severity, CASE severity WHEN 'error' THEN 3 WHEN 'warn' THEN 2 ELSE 1 END) "
+    "AS worst FROM findings GROUP BY rule_id",
     rules.FINDINGS_SQL,
 )
 def _worst(rel):
-    return findings.findings(rel).groupBy("rule_id").agg(
-        F.count("*").alias("n"), F.max(findings.rank(F.col("severity"))).cast("long").alias("worst")
-    )
+    return findings.worst(findings.findings(rel))
 
 
 @query("agg15_rules_by_severity", f"SELECT s AS severity, count(*)::BIGINT AS n FROM (VALUES {rules._DEFAULTS}) d(i, s) GROUP BY s")
@@ -294,12 +319,7 @@ def _first_of_name(rel):
     rules.FINDINGS_SQL,
 )
 def _capped(rel):
-    """The feature is a cap: the first twenty of a file, and how many more there are."""
-    found = findings.findings(rel)
-    order = Window.partitionBy("file").orderBy("line", "column", "rule_id", F.coalesce("variable", F.lit("")))
-    totals = found.groupBy("file").agg(F.greatest(F.count("*") - 20, F.lit(0)).alias("hidden"))
-    top = found.withColumn("n", F.row_number().over(order)).where("n <= 20")
-    return top.join(totals, "file").select("file", "rule_id", "line", "hidden")
+    return findings.capped(findings.findings(rel), 20).select("file", "rule_id", "line", "hidden")
 
 
 @on_relations("set01_names", "SELECT name FROM decls UNION SELECT name FROM usages UNION SELECT name FROM infra")
@@ -312,14 +332,6 @@ def _undeclared(rel):
     return rel.usages.join(rel.decls.select("name").distinct(), "name", "left_anti").select("name").distinct()
 
 
-@on_relations(
-    "srt03_distinct_reads",
-    "SELECT DISTINCT name, file, line, col, accessor, has_fallback, required, fallback_literal FROM usages",
-)
-def _distinct_reads(rel):
-    return _col(rel.usages.drop("language").distinct(), "name", "file", "line", "column", "accessor", "has_fallback", "required", "fallback_literal")
-
-
 # Scalar functions
 
 
@@ -380,13 +392,14 @@ def _places(spark, sf_dir):
 
 @query(
     "scl09_names",
-    "SELECT doc_id, regexp_matches(word, '^[A-Za-z_][A-Za-z0-9_]*$') AS is_name, regexp_matches(word, '^[A-Z][A-Z0-9_]*$') AS is_upper "
-    "FROM (SELECT doc_id, regexp_extract(text, '[^ \\n]+') AS word FROM documents)",
+    "SELECT doc_id, count(*)::BIGINT AS words, count(*) FILTER (regexp_matches(word, '^[A-Za-z_][A-Za-z0-9_]*$'))::BIGINT AS names, "
+    "count(*) FILTER (regexp_matches(word, '^[A-Z][A-Z0-9_]*$'))::BIGINT AS upper "
+    "FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[^ \\n]+')) AS word FROM documents) GROUP BY doc_id",
 )
 def _name_tests(spark, sf_dir):
-    word = F.regexp_extract("text", "[^ \n]+", 0)
-    return table(spark, sf_dir, "documents").select(
-        "doc_id", text.is_env_name(word).alias("is_name"), text.is_upper_snake(word).alias("is_upper")
+    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[^ \n]+"), F.lit(0))).alias("word"))
+    return words.groupBy("doc_id").agg(
+        F.count("*").alias("words"), F.count_if(text.is_env_name(F.col("word"))).alias("names"), F.count_if(text.is_upper_snake(F.col("word"))).alias("upper")
     )
 
 
@@ -431,21 +444,154 @@ def _quoting(rel):
     return rel.decls.select("file", "line", dotenv.needs_quoting(F.col("value")).alias("quoted"), dotenv.normalized(F.col("value")).alias("normal"))
 
 
+_CELL = "replace(replace(regexp_replace(text, '\\r?\\n', ' ', 'g'), '|', '\\|'), '`', '\\`')"
+
+
+@query(
+    "scl18_markdown_cell",
+    f"SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN '—' WHEN length({_CELL}) <= 60 THEN {_CELL} ELSE substr({_CELL}, 1, 59) || '…' END "
+    "AS cell FROM documents",
+)
+def _cell(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.markdown_cell(F.col("text")).alias("cell"))
+
+
 @query(
-    "scl18_token_literals",
+    "fingerprinted_literals",
     "SELECT source, count(*)::BIGINT AS n, count(DISTINCT substr(sha256(t), 1, 12))::BIGINT AS digests FROM (SELECT source, "
-    "regexp_extract(text, 'token = \"([0-9a-f]{40})\"', 1) AS t FROM documents) WHERE t <> '' GROUP BY source",
+    "unnest(regexp_extract_all(text, 'token = \"([0-9a-f]{40})\"', 1)) AS t FROM documents) GROUP BY source",
 )
 def _tokens(spark, sf_dir):
-    found = table(spark, sf_dir, "documents").select("source", F.regexp_extract("text", 'token = "([0-9a-f]{40})"', 1).alias("t"))
-    return found.where("t <> ''").groupBy("source").agg(
-        F.count("*").alias("n"), F.count_distinct(text.fingerprint(F.col("t"))).alias("digests")
+    literals = F.explode(F.regexp_extract_all("text", F.lit('token = "([0-9a-f]{40})"'), F.lit(1)))
+    found = table(spark, sf_dir, "documents").select("source", literals.alias("t"))
+    return found.groupBy("source").agg(F.count("*").alias("n"), F.count_distinct(text.fingerprint(F.col("t"))).alias("digests"))
+
+
+@query(
+    "scl05_line_texts",
+    "SELECT doc_id, n, regexp_replace(string_split(text, chr(10))[n], '\\r$', '') AS line FROM (SELECT doc_id, text, unnest(range(1, 1 + "
+    "CASE WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10))) END))::BIGINT AS n FROM documents)",
+)
+def _line_texts(spark, sf_dir):
+    """Every line of every text, without a carriage return at its end."""
+    docs = table(spark, sf_dir, "documents")
+    lines = docs.select("doc_id", "text", F.explode(F.sequence(F.lit(1), F.greatest(text.count_lines(F.col("text")), F.lit(1)))).alias("n"))
+    lines = lines.where("text <> ''")
+    return lines.select("doc_id", F.col("n").cast("long").alias("n"), text.line_text(F.col("text"), F.col("n")).alias("line"))
+
+
+@query(
+    "scl08_globs",
+    "SELECT doc_id, regexp_matches(source, '(^|/)s[^/]*$') AS deep, length(source) = 4 AND source[2:3] = 'rc' AS one, "
+    "source IN ('crawl', 'src1') AS either FROM documents",
+)
+def _globs(spark, sf_dir):
+    source = F.col("source")
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", source.rlike(globs.glob_regex("**/s*")).alias("deep"), source.rlike(globs.glob_regex("?rc?")).alias("one"),
+        source.rlike(globs.glob_regex("{crawl,src1}")).alias("either"),
     )
 
 
 # Sinks
 
 
-@on_relations("snk07_serialized", None)
+_BARE = "value <> '' AND regexp_matches(value, '^[A-Za-z0-9_./:@+%,~?!=^-]+$')"
+
+
+@on_relations(
+    "snk07_serialized",
+    "SELECT file, string_agg(t, chr(10) ORDER BY line, col) || chr(10) AS text FROM (SELECT file, line, col, "
+    "CASE WHEN above IS NOT NULL THEN '# ' || above || chr(10) ELSE '' END || CASE WHEN exported THEN 'export ' ELSE '' END || name || '=' || "
+    f"CASE WHEN value = '' THEN '' WHEN {_BARE} THEN value ELSE '\"' || value || '\"' END || coalesce(' ' || comment, '') AS t, "
+    "row_number() OVER (PARTITION BY file, name ORDER BY line DESC, col DESC) AS n FROM decls) WHERE n = 1 GROUP BY file",
+)
 def _serialized(rel):
     return dotenv.serialize(rel.decls, style="auto", dedupe="keep-last")
+
+
+_JSON = "'\"' || replace(replace({}, '\\', '\\\\'), '\"', '\\\"') || '\"'"
+
+
+def _key(name: str, column: str) -> str:
+    return f"coalesce(',\"{name}\":' || {_JSON.format(column)}, '')"
+
+
+@on_relations(
+    "snk03_json_lines",
+    "SELECT file, line, '{\"column\":' || col || " + _key("file", "file") + " || " + _key("fingerprint", "fingerprint") + " || ',\"line\":' || line || "
+    + _key("ruleId", "rule_id") + " || " + _key("severity", "severity") + " || " + _key("variable", "variable") + " || '}' AS json FROM findings",
+    rules.FINDINGS_SQL,
+)
+def _json_lines(rel):
+    return documents.json_lines(findings.findings(rel).select(*_SHOWN))
+
+
+@on_relations(
+    "snk04_sarif_lines",
+    "SELECT file, line, '{\"level\":\"' || CASE severity WHEN 'error' THEN 'error' WHEN 'warn' THEN 'warning' ELSE 'note' END || "
+    "'\",\"locations\":[{\"physicalLocation\":{\"artifactLocation\":{\"uri\":\"' || file || '\",\"uriBaseId\":\"PROJECTROOT\"},\"region\":{\"startColumn\":' || col "
+    "|| ',\"startLine\":' || greatest(1, line) || '}}}],\"partialFingerprints\":{\"envlattice/v1\":\"' || concat_ws(':', rule_id, file, greatest(1, line), col) || '\"},\"properties\":{' || "
+    "ltrim(" + _key("fingerprint", "fingerprint") + " || " + _key("variable", "variable") + ", ',') || '},\"ruleId\":\"' || rule_id || '\"}' AS json FROM findings",
+    rules.FINDINGS_SQL,
+)
+def _sarif_lines(rel):
+    return documents.sarif_lines(findings.findings(rel).select(*_SHOWN))
+
+
+_SHOWN = ["column", "file", "fingerprint", "line", "rule_id", "severity", "variable"]
+
+
+_TREE = """
+WITH n AS (SELECT n_nationkey AS k, 'r' || n_regionkey || '/' AS r, n_nationkey % 12 AS form FROM nation),
+made AS (
+  SELECT r || CASE form WHEN 0 THEN 'n' || k || '.env' WHEN 1 THEN 'n' || k || '.py' WHEN 2 THEN 'n' || k || '.png' WHEN 4 THEN 'n' || k || '.txt'
+           WHEN 5 THEN 'n' || k || '.go' WHEN 6 THEN 'skip' || k WHEN 7 THEN 'w' || k || '/gradlew' WHEN 8 THEN 'Dockerfile.n' || k
+           WHEN 9 THEN 'l' || k || '.js' WHEN 10 THEN 'n' || k || '/compose.yml' ELSE 'own' || k END AS path,
+         CASE form WHEN 0 THEN 'env' WHEN 1 THEN 'code' WHEN 2 THEN 'extension' WHEN 4 THEN 'too-large' WHEN 5 THEN 'binary'
+           WHEN 6 THEN 'gitignore' WHEN 7 THEN 'generated' WHEN 8 THEN 'dockerfile' WHEN 9 THEN 'symlink' WHEN 10 THEN 'compose'
+           ELSE 'gitignore' END AS fate, CASE WHEN form IN (0, 1, 8, 10) THEN length('A=' || k) END AS bytes, form FROM n WHERE form <> 3)
+SELECT path, fate, CASE form WHEN 1 THEN 'python' WHEN 0 THEN 'unknown' WHEN 8 THEN 'unknown' WHEN 10 THEN 'unknown' END AS language, bytes::BIGINT AS bytes
+FROM made
+UNION ALL SELECT '.gitignore', 'other', 'unknown', 7::BIGINT
+UNION ALL SELECT DISTINCT 'r' || n_regionkey || '/.gitignore', 'other', 'unknown', 10::BIGINT FROM nation
+"""
+
+
+@query("src01_tree", _TREE)
+def _tree(spark, sf_dir):
+    """A small project, a file or folder for each nation, walked with its ignore files and read by the data source."""
+    nations = [(r["n_nationkey"], r["n_regionkey"]) for r in table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey").collect()]
+    root = made_tree(spark, nations)
+    found, _ = tree.plan(root, CONFIG)
+    read = tree.read_tree(spark, found, CONFIG).select("path", F.col("class").alias("fate"), "language", F.octet_length("text").cast("long").alias("bytes"))
+    left_out = spark.createDataFrame(found.skipped, "path string, fate string")
+    nothing = [F.lit(None).cast(t).alias(n) for n, t in (("language", "string"), ("bytes", "long"))]
+    return read.unionAll(left_out.select("path", "fate", *nothing))
+
+
+def made_tree(spark: SparkSession, nations: list[tuple[int, int]]) -> str:
+    """The project's folder, where all machines see it: below spark.checkpoint.dir, or a temporary one in local runs."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    root = tempfile.mkdtemp(prefix="envlattice-tree-", dir=shared and shared.removeprefix("file://"))
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
+
+    def put(path: str, body: str) -> None:
+        os.makedirs(os.path.dirname(f"{root}/{path}"), exist_ok=True)
+        with open(f"{root}/{path}", "w", newline="") as f:
+            f.write(body)
+
+    put(".gitignore", "skip*/\n")
+    for k, region in nations:
+        r, form, body = f"r{region}", k % 12, f"A={k}"
+        put(f"{r}/.gitignore", "/own[0-9]*")
+        paths = [f"n{k}.env", f"n{k}.py", f"n{k}.png", f"node_modules/n{k}.js", f"n{k}.txt", f"n{k}.go", f"skip{k}/a.py", f"w{k}/gradlew",
+                 f"Dockerfile.n{k}", f"l{k}.js", f"n{k}/compose.yml", f"own{k}/a.py"]
+        if form == 9:
+            os.makedirs(f"{root}/{r}", exist_ok=True)
+            os.symlink(f"{root}/.gitignore", f"{root}/{r}/{paths[9]}")
+        else:
+            put(f"{r}/{paths[form]}", {4: "x" * 70_000, 5: "\0" * 9}.get(form, body))
+    return root

@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from envlattice.plans import inventory, rules, texts
+from envlattice.plans import inventory, languages, rules, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return rules.QUERIES | inventory.QUERIES | texts.QUERIES
+    return rules.QUERIES | inventory.QUERIES | texts.QUERIES | languages.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return rules.ORACLES | inventory.ORACLES | texts.ORACLES
+    return rules.ORACLES | inventory.ORACLES | texts.ORACLES | languages.ORACLES

@@ -19,6 +19,7 @@ def _name(key: str) -> str:
 _MD5 = "MD5(CAST(o_orderkey AS STRING))"
 DECLS = f"""
 SELECT CASE WHEN o_custkey % 31 = 4 THEN CONCAT('OLD_', LPAD(CAST(o_custkey % 900 AS STRING), 4, '0'))
+            WHEN o_custkey % 67 = 6 THEN CONCAT(REPEAT('LONG_', 26), LPAD(CAST(o_custkey % 900 AS STRING), 4, '0'))
             ELSE {_name("o_custkey")} END AS name,
        CASE place WHEN 0 THEN '.env' WHEN 1 THEN '.env.example' WHEN 2 THEN '.env.local'
             WHEN 3 THEN 'app/.env.production' ELSE '.env.test' END AS file,

@@ -7,8 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from envlattice import schemas
+from envlattice.sinks.dotenv import format_text
 from envlattice.sources import accessors, ci, compose, dockerfile, dotenv, markers
 from envlattice.sources.project import _mapped
 
@@ -30,8 +32,10 @@ def c(*parts: str) -> str:
 class Made:
     """A kind of file: where it stands, what its lines are, and the rows that they must give."""
 
-    def __init__(self, folder: str, suffix: str, header: str, forms: list[str], language: str, kind: str):
+    def __init__(self, folder: str, suffix: str, header: str, forms: list[str], language: str, kind: str, one_file: bool = False):
         self.lines = LINES.format(folder=folder, suffix=suffix)
+        if one_file:
+            self.lines = self.lines.replace(f"CONCAT('{folder}f', CAST(o_custkey % 50 AS STRING), '{suffix}')", f"'{folder}{suffix}'")
         self.header, self.forms, self.language, self.kind = header, forms, language, kind
 
     def files(self, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,6 +100,26 @@ GITHUB_SQL = f"""SELECT {K} AS name, path AS file, line, 3 AS col, 'ci-env' AS k
 UNION ALL SELECT 'S_' || k, path, line, (strpos(t, 'S_'))::INT, 'ci-secret', true, true FROM l WHERE form = 1
 UNION ALL SELECT 'V_' || k, path, line, (strpos(t, 'V_'))::INT, 'ci-var', false, true FROM l WHERE form = 4
 UNION ALL SELECT 'E', path, line, (strpos(t, 'env.E') + 4)::INT, 'ci-env-usage', false, true FROM l WHERE form = 4"""
+#: What GitLab and CircleCI take alike: names with values that a shell expands.
+_VALUES = [
+    c("  KEY_", ".k", ": ", ".v"), c("  KEY_", ".k", ": $", "REF_", ".k"), c("  # KEY_", ".k", ": $", "REF_", ".k"), c("  KEY_", ".k", ":"),
+    c("  KEY_", ".k", ": a$", "{REF_", ".k", "}b"), c("  KEY_", ".k", ": ''"),
+]
+_VALUES_SQL = f"""SELECT {K} AS name, path AS file, line, 3 AS col, 'ci-env' AS kind, form IN (3, 5) AS required, false AS interpolation FROM l WHERE form <> 2
+UNION ALL SELECT 'REF_' || k, path, line, (strpos(t, 'REF_'))::INT, 'ci-env-usage', false, true FROM l WHERE form IN (1, 4)"""
+GITLAB = Made(".gitlab/ci/", ".yml", "variables:\n", _VALUES, "unknown", "ci")
+CIRCLE = Made("", "/.circleci/config.yml", "environment:\n", _VALUES, "unknown", "ci")
+AZURE = Made("", "azure-pipelines.yml", "variables:\n", [
+    c("  KEY_", ".k", ": ", ".v"), c("  KEY_", ".k", ": $(REF_", ".k", ")"), c("  # KEY_", ".k", ": $(REF_", ".k", ")"), c("  KEY_", ".k", ":"),
+    c("  KEY_", ".k", ": $", "{{ variables.REF_", ".k", " }}"), c("  KEY_", ".k", ": ''"),
+], "unknown", "ci", one_file=True)
+#: Blanks at line ends, blank lines between runs, and keys in no order.
+LOOSE = Made("", ".env", "", [
+    c("KEY_", ".k", "=", ".v"), c("KEY_", ".k", "=", ".v", "  "), c("A_", ".k", "=", ".v"), c("M_", ".k", "="), c(""), c("Z_", ".k", "=", ".v"),
+], "unknown", "env")
+LOOSE_SQL = """, islands AS (SELECT *, sum(CASE WHEN form = 4 THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY line) AS run FROM l)
+SELECT path AS file, row_number() OVER (PARTITION BY path ORDER BY run, regexp_extract(t, '^[^=]+'), line)::BIGINT AS place, rtrim(t) AS text
+FROM islands WHERE form <> 4"""
 MARKED = Made("src/", ".go", "", [
     c("x() // envlattice-disable-line rule-", ".k"), c("// Envlattice-Disable-Next-Line rule-", ".k", ", rule-x"), c("// disable-line no"),
     c("// envlattice-disable-file rule-", ".v"), c("y()"), c("# envlattice-disable-line: a-b c-d"),
@@ -127,6 +151,19 @@ def _infra(scan):
     return run
 
 
+FORMATTED = StructType([StructField("file", StringType()), StructField("place", LongType()), StructField("text", StringType())])
+
+
+def _formatted(files: DataFrame) -> DataFrame:
+    """The lines of formatted files that are not blank, numbered."""
+
+    def rows(path: str, language: str, kind: str, text: str) -> list[tuple]:
+        lines = [line for line in format_text(text)[0].split("\n") if line]
+        return [(path, i, line) for i, line in enumerate(lines, 1)]
+
+    return _mapped(files, FORMATTED, rows)
+
+
 _READERS = {
     "src18_dotenv": (DOTENV, _decls, DOTENV_SQL),
     "src26_javascript": (JS, _usages, JS_SQL),
@@ -134,6 +171,10 @@ _READERS = {
     "src32_compose": (COMPOSE, _infra(compose.scan), COMPOSE_SQL),
     "src33_dockerfile": (DOCKER, _infra(dockerfile.scan), DOCKER_SQL),
     "src35_github": (GITHUB, _infra(ci.scan), GITHUB_SQL),
+    "src36_gitlab": (GITLAB, _infra(ci.scan), _VALUES_SQL),
+    "src37_azure": (AZURE, _infra(ci.scan), _VALUES_SQL),
+    "src38_circleci": (CIRCLE, _infra(ci.scan), _VALUES_SQL),
+    "snk08_formatted": (LOOSE, _formatted, LOOSE_SQL),
     "src43_markers": (MARKED, lambda files: markers.markers(files.select("path", "text")), MARKED_SQL),
 }
 

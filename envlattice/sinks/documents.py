@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from envlattice.operators import catalogue
-from envlattice.sinks.report import NAME, Report, dumps
+from envlattice.sinks.report import NAME, Report, camel, dumps
 
 _RANK = {s: i for i, s in enumerate(catalogue.SEVERITIES)}
 _LEVEL = {"error": "error", "warn": "warning", "info": "note"}
@@ -42,6 +45,30 @@ def to_json_summary(report: Report, label: str | None = None, pretty: bool = Tru
     return dumps({"schemaVersion": 1, "tool": report.tool, "root": label or report.root, "summary": report.summary}, pretty)
 
 
+def json_lines(found: DataFrame) -> DataFrame:
+    """(file, line, json): a finding a row, as the document has it, for results that no driver should gather."""
+    keys = sorted((camel(c), c) for c in found.columns)
+    return found.select("file", "line", F.to_json(F.struct(*(F.col(c).alias(k) for k, c in keys))).alias("json"))
+
+
+def sarif_lines(found: DataFrame) -> DataFrame:
+    """(file, line, json): a SARIF result a row, without the index of its rule's descriptor."""
+    flat = F.regexp_replace(F.regexp_replace(F.translate("file", "\\", "/"), "^[A-Za-z]:/", ""), r"^/+", "")
+    uri = F.coalesce(F.nullif(F.regexp_replace(flat, r"^\./", ""), F.lit("")), F.lit("unknown"))
+    line, column = F.greatest(F.lit(1), "line"), F.greatest(F.lit(1), "column")
+    levels = F.element_at(F.create_map(*(F.lit(x) for pair in _LEVEL.items() for x in pair)), F.col("severity"))
+    region = F.struct(column.alias("startColumn"), line.alias("startLine"))
+    place = F.struct(F.struct(uri.alias("uri"), F.lit(_ROOT).alias("uriBaseId")).alias("artifactLocation"), region.alias("region"))
+    message = [F.struct(F.col("message").alias("text")).alias("message")] if "message" in found.columns else []
+    optional = [c for c in ("fingerprint", "hint", "variable") if c in found.columns]
+    result = F.struct(
+        levels.alias("level"), F.array(F.struct(place.alias("physicalLocation"))).alias("locations"), *message,
+        F.struct(F.concat_ws(":", "rule_id", uri, line.cast("string"), column.cast("string")).alias(f"{NAME}/v1")).alias("partialFingerprints"),
+        F.struct(*optional).alias("properties"), F.col("rule_id").alias("ruleId"),
+    )
+    return found.select("file", "line", F.to_json(result).alias("json"))
+
+
 def relative_uri(path: str) -> str:
     """A path without drive, leading slashes or a leading dot, so that no absolute path is published."""
     path = re.sub(r"^[A-Za-z]:/", "", path.replace("\\", "/")).lstrip("/")
