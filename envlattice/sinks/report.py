@@ -62,16 +62,22 @@ class Report:
 
 
 def build(scan: Scan, config: Config, redact: bool = True) -> Report:
-    """Runs all rules and gathers what the sinks need: findings and summaries, not relations."""
+    """Runs all rules and gathers what the sinks need: findings and summaries, not relations.
+
+    This is for a project whose report a person reads. Findings over tables are given out as rows, or as JSON and SARIF lines by
+    ``documents``, without passing the driver.
+    """
     rel = scan.relations
     found = findings.findings(rel, config).persist()
     notes = scan.diagnostics.orderBy("file", "line", "column", "code").collect()
     summary = findings.summarise(found, rel, config, scan.files_scanned, len(notes)).first().asDict(recursive=True)
     by_rule = summary.pop("by_rule") or {}
     files = rel.env_files.drop("byte_size").orderBy("path").collect()
+    ordered = found.orderBy(*findings.by_order()).collect()
+    found.unpersist()
     return Report(
         root=scan.root,
-        findings=[plain(r, drop_null=True) for r in found.orderBy(*findings.by_order()).collect()],
+        findings=[plain(r, drop_null=True) for r in ordered],
         summary={camel(k): v for k, v in summary.items()} | {"byRule": by_rule},
         files=[plain(r) for r in files],
         variables=[plain(r) for r in rollup.variables(rel, config, include_undeclared=True, redact=redact).collect()],

@@ -80,8 +80,12 @@ def _load(path: str) -> dict | None:
         return None
 
 
-def read_manifest(root: str) -> Manifest | None:
-    """The project's package manifest with the dependencies of all others, to a bounded depth and number."""
+def read_manifest(root: str, left_out: list[tuple[str, str]] | None = None) -> Manifest | None:
+    """The project's package manifest with the dependencies of all others, to a bounded depth and number.
+
+    ``left_out`` gets (folder, reason) of the folders where the bounds ended the search.
+    """
+    left_out = [] if left_out is None else left_out
     own = _load(os.path.join(root, "package.json"))
     if own is None:
         return None
@@ -96,8 +100,12 @@ def read_manifest(root: str) -> Manifest | None:
             if e.name == "package.json" and (found := _load(e.path)) is not None:
                 n += 1
                 related.update(_names(found.get("dependencies")), _names(found.get("devDependencies")))
-            elif depth < MANIFEST_DEPTH and e.name not in PRUNED and e.is_dir(follow_symlinks=False):
-                todo.append((e.path, depth + 1))
+            elif e.name not in PRUNED and e.is_dir(follow_symlinks=False):
+                if depth < MANIFEST_DEPTH:
+                    todo.append((e.path, depth + 1))
+                else:
+                    left_out.append((os.path.relpath(e.path, root).replace(os.sep, "/"), "manifests-too-deep"))
+    left_out += [(os.path.relpath(folder, root).replace(os.sep, "/"), "manifests-too-many") for folder, _ in todo]
     strings = lambda v: {k: x for k, x in sorted(v.items()) if isinstance(x, str)} if isinstance(v, dict) else {}
     name = own.get("name")
     return Manifest(
@@ -116,12 +124,19 @@ class Scan:
     bytes_scanned: int
     skipped: list[tuple[str, str]]
     diagnostics: DataFrame
+    texts: DataFrame
+
+    def release(self) -> None:
+        """Frees what the scan keeps for all rules."""
+        for kept in (self.texts, self.relations.decls, self.relations.usages, self.relations.infra, self.relations.env_files):
+            kept.unpersist()
 
 
 def scan(spark: SparkSession, root: str, config: Config | None = None, use_gitignore: bool = True) -> Scan:
     """Reads a project. The walk and git run on the driver; texts are read and parsed on the executors.
 
-    Texts do not go beyond the readers: what is kept are the relations.
+    Texts do not go beyond the readers: what is kept are the relations, until ``release``. Files and folders that a bound leaves out,
+    wholly or for one reader, are in ``skipped``.
     """
     config = config or Config()
     root = os.path.abspath(root)
@@ -130,6 +145,8 @@ def scan(spark: SparkSession, root: str, config: Config | None = None, use_gitig
     skipped = list(found.skipped)
     if tracked is not None:
         skipped += [(p, "gitignore") for p, _, _ in found.files if p not in tracked and ignore.ignored(p, False)]
+    skipped += [(p, "too-large-for-markers") for p, _, n in found.files if n > markers.MAX_BYTES]
+    skipped += [(p, "too-large-for-reads") for p, _, n in found.files if n > accessors.MAX_BYTES and tree.class_of(p, config) == "code"]
     files = tree.read_tree(spark, found, config).persist()
     env = files.where("class = 'env'")
     examples = config.example_files
@@ -167,6 +184,6 @@ def scan(spark: SparkSession, root: str, config: Config | None = None, use_gitig
     usages = _mapped(code, schemas.USAGES, lambda path, language, kind, text: accessors.scan(path, text, language))
     env_files = there.unionByName(missing_files(infra, there).select(*schemas.ENV_FILES.fieldNames()))
     suppressions = markers.markers(files.where(F.col("bytes") <= markers.MAX_BYTES).select("path", "text"))
-    rel = Relations(decls, usages, infra, env_files, suppressions, read_manifest(root))
+    rel = Relations(decls, usages, infra, env_files, suppressions, read_manifest(root, skipped))
     size = sum(n for _, _, n in found.files)
-    return Scan(rel.cached(), root, len(found.files), size, sorted(skipped), _mapped(env, schemas.DIAGNOSTICS, parsed("notes")))
+    return Scan(rel.cached(), root, len(found.files), size, sorted(skipped), _mapped(env, schemas.DIAGNOSTICS, parsed("notes")), files)

@@ -138,6 +138,25 @@ def test_own_rules_severities_and_suppressions(spark, scanned):
     assert [(r.severity, r.rule_title) for r in own.where("rule_id = 'own-rule'").collect()] == [("info", "Own")]
 
 
+def test_what_bounds_leave_out_is_said(spark, tmp_path, monkeypatch):
+    from envlattice.sources import accessors, markers
+
+    (tmp_path / "a.js").write_text("process.env.PORT; // " + "x" * 200)
+    (tmp_path / "b.txt").write_text("y" * 120)
+    (tmp_path / "package.json").write_text("{}")
+    (tmp_path / "p/q").mkdir(parents=True)
+    monkeypatch.setattr(accessors, "MAX_BYTES", 150)
+    monkeypatch.setattr(markers, "MAX_BYTES", 100)
+    monkeypatch.setattr(project, "MANIFEST_DEPTH", 1)
+    scan = project.scan(spark, str(tmp_path))
+    assert {("a.js", "too-large-for-reads"), ("a.js", "too-large-for-markers"), ("b.txt", "too-large-for-markers"), ("p/q", "manifests-too-deep")} <= set(scan.skipped)
+    scan.release()
+    monkeypatch.setattr(project, "MANIFESTS", 1)
+    left_out = []
+    project.read_manifest(str(tmp_path), left_out)
+    assert left_out == [("p", "manifests-too-many")]
+
+
 def test_clean_project_has_no_findings(spark, tmp_path):
     (tmp_path / "a.js").write_text("process.env.PORT")
     (tmp_path / ".env").write_text("PORT=1\n")
