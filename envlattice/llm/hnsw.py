@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, written
 from .components import components
 
 #: Distinct vectors of a shard. A pair of shards is one task: two graphs and a table of so many squared bits.
@@ -293,6 +293,7 @@ def near_duplicates(
         sides.groupBy(*_KEYS, "low", "high").applyInArrow(_pair(threshold), f"label {kind}, dim int, node long, links long, other long"),
         "found",
     )
+    forget(index)
     audits = found.where("node is null").groupBy(*_KEYS).agg((F.sum("other") / F.sum("links")).alias("recall"))
     linked = found.where("node is not null").groupBy("node").agg(F.sum("links").alias("links"))
     joined = components(

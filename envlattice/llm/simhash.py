@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, written
 from .components import components
 
 #: Shingles whose bits are counted at once, so that a text of any length takes a bounded amount of memory.
@@ -197,9 +197,12 @@ def groups(
     """
     stars = written(verified(star_links(prints, names, max_distance, plan, compared)), "stars")
     joined = components(stars).withColumnsRenamed({"node": "id", "component": "group"})
-    grouped = prints.join(joined, "id", "left").withColumn("group", F.coalesce("group", "id"))
-    rest = verified(links(written(grouped, "grouped"), names, max_distance, plan, compared))
-    return components(stars.unionAll(rest)).withColumnRenamed("node", "id")
+    grouped = written(prints.join(joined, "id", "left").withColumn("group", F.coalesce("group", "id")), "grouped")
+    rest = verified(links(grouped, names, max_distance, plan, compared))
+    out = components(stars.unionAll(rest)).withColumnRenamed("node", "id")  # reads its own last table only
+    forget(stars)
+    forget(grouped)
+    return out
 
 
 def near_duplicates(

@@ -118,7 +118,8 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     """(id, n_words long, n_tokens long, longest long) of every row: words, their pieces, and most pieces of a word.
 
     Words are cut by the six ASCII blanks, over the whole text. A null text has none; rows that occur again and null ids
-    are counted like any other. What a worker remembers is bounded, whatever the number of different words.
+    are counted like any other; an empty table gives an empty result, and no other column is read. What a worker remembers is
+    bounded, whatever the number of different words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
