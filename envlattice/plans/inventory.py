@@ -9,7 +9,7 @@ import tempfile
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from envlattice.config import Config
@@ -496,6 +496,41 @@ def _globs(spark, sf_dir):
 # Sinks
 
 
+@on_relations(
+    "scl12_name_defects",
+    "SELECT DISTINCT name, CASE WHEN regexp_matches(name, '^[0-9]') THEN 'it starts with the digit ' || name[1] WHEN contains(name, '.') "
+    "THEN 'it contains . (U+002E)' END AS defect FROM decls",
+)
+def _defects(rel):
+    return rel.decls.select("name", text.name_defect(F.col("name")).alias("defect")).distinct()
+
+
+@query(
+    "srt06_rule_listing",
+    "SELECT id AS rule_id, s AS severity, row_number() OVER (ORDER BY CASE s WHEN 'error' THEN 0 WHEN 'warn' THEN 1 ELSE 2 END, id)::BIGINT "
+    f"AS place FROM (VALUES {rules._DEFAULTS}) d(id, s)",
+)
+def _listing(spark, sf_dir):
+    """All rules as the command lists them: by severity, then id. One small table."""
+    order = Window.orderBy(findings.rank(F.col("severity")).desc(), "rule_id")
+    return catalogue.rules(spark).select("rule_id", "severity", F.row_number().over(order).cast("long").alias("place"))
+
+
+@on_relations(
+    "fil14_rollup_filters",
+    "SELECT 'declared' AS kept, count(DISTINCT name)::BIGINT AS n FROM decls UNION ALL "
+    "SELECT 'used', count(DISTINCT name)::BIGINT FROM decls WHERE name IN (SELECT name FROM usages) UNION ALL "
+    "SELECT 'all', count(*)::BIGINT FROM (SELECT name FROM decls UNION SELECT name FROM usages UNION SELECT name FROM infra)",
+)
+def _filters(rel):
+    kinds = {"declared": (False, True), "used": (False, False), "all": (True, True)}
+    counts = [
+        rollup.variables(rel, CONFIG, include_undeclared=a, include_unused=b).agg(F.lit(kind).alias("kept"), F.count("*").alias("n"))
+        for kind, (a, b) in kinds.items()
+    ]
+    return reduce(DataFrame.unionAll, counts)
+
+
 _BARE = "value <> '' AND regexp_matches(value, '^[A-Za-z0-9_./:@+%,~?!=^-]+$')"
 
 

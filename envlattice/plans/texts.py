@@ -12,7 +12,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from envlattice import schemas
 from envlattice.sinks.dotenv import format_text
 from envlattice.sources import accessors, ci, compose, dockerfile, dotenv, markers
-from envlattice.sources.project import _mapped
+from envlattice.sources.project import _mapped, dotenv_paths
 
 LINES = """
 SELECT CONCAT('{folder}f', CAST(o_custkey % 50 AS STRING), '{suffix}') AS path, o_orderkey AS ord, o_orderkey % 6 AS form,
@@ -120,6 +120,13 @@ LOOSE = Made("", ".env", "", [
 LOOSE_SQL = """, islands AS (SELECT *, sum(CASE WHEN form = 4 THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY line) AS run FROM l)
 SELECT path AS file, row_number() OVER (PARTITION BY path ORDER BY run, regexp_extract(t, '^[^=]+'), line)::BIGINT AS place, rtrim(t) AS text
 FROM islands WHERE form <> 4"""
+LOADED = Made("src/", ".js", "", [
+    c("dotenv.config({ path: '.env.", ".k", "' });"), c("  new Dotenv({ path: \".env.", ".v", "\" });"), c("x();"), c("y('.env.", ".k", "');"),
+    c("dotenv.config();"), c("a(); dotenv.config({ path: 'app/.env.", ".k", "' });"),
+], "javascript", "code")
+LOADED_SQL = """SELECT CASE form WHEN 0 THEN '.env.' || k WHEN 1 THEN '.env.' || v ELSE 'app/.env.' || k END AS name, path AS file, line,
+  (CASE form WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 6 END)::INT AS col, 'dotenv-path' AS kind, true AS required, false AS interpolation
+FROM l WHERE form IN (0, 1, 5)"""
 MARKED = Made("src/", ".go", "", [
     c("x() // envlattice-disable-line rule-", ".k"), c("// Envlattice-Disable-Next-Line rule-", ".k", ", rule-x"), c("// disable-line no"),
     c("// envlattice-disable-file rule-", ".v"), c("y()"), c("# envlattice-disable-line: a-b c-d"),
@@ -171,6 +178,7 @@ _READERS = {
     "src32_compose": (COMPOSE, _infra(compose.scan), COMPOSE_SQL),
     "src33_dockerfile": (DOCKER, _infra(dockerfile.scan), DOCKER_SQL),
     "src35_github": (GITHUB, _infra(ci.scan), GITHUB_SQL),
+    "src41_dotenv_paths": (LOADED, _infra(dotenv_paths), LOADED_SQL),
     "src36_gitlab": (GITLAB, _infra(ci.scan), _VALUES_SQL),
     "src37_azure": (AZURE, _infra(ci.scan), _VALUES_SQL),
     "src38_circleci": (CIRCLE, _infra(ci.scan), _VALUES_SQL),
