@@ -73,11 +73,14 @@ def features(docs: DataFrame, text_col: str = "text", keep: list[str] | None = N
     """(row, quality_counts): a struct of the columns ``keep`` (all by default), and one of the values of ``COUNTS``."""
     keep = docs.columns if keep is None else keep
     row = F.struct(*keep) if keep else F.struct(F.lit(0).alias("none"))
-    rows = docs.select(row.alias("row"), F.col(text_col).cast("binary").alias("text"))
+    # a text that is kept travels once
+    inside = text_col in keep and docs.schema[text_col].dataType.typeName() == "string"
+    rows = docs.select(row.alias("row"), *([] if inside else [F.col(text_col).cast("binary").alias("text")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([counts(t or b"") for t in batch.column(1).to_pylist()], np.int64).reshape(-1, len(COUNTS))
+            texts = batch.column(0).field(text_col).cast(pa.binary()) if inside else batch.column(1)
+            found = np.array([counts(t.as_py() or b"") for t in texts], np.int64).reshape(-1, len(COUNTS))
             found = pa.StructArray.from_arrays([pa.array(found[:, i]) for i in range(len(COUNTS))], COUNTS)
             yield pa.RecordBatch.from_arrays([batch.column(0), found], ["row", "quality_counts"])
 
