@@ -21,10 +21,15 @@ CHUNK = (1 << 16) - 1
 #: Segments of a fingerprint for distances that the pigeonhole covers.
 SEGMENTS = 3
 #: Segments of a word, their bits and their balls' radius in plans for similarities, where the pigeonhole does not help.
-PER_WORD, WIDTH, RADIUS = 3, 20, 1
+PER_WORD, WIDTH, RADIUS = 3, 20, 0
+#: Words of a wide fingerprint that are made of shingles; the plan's words are permutations of their bits, by this seed.
+MADE, PERMUTED = 8, 20
+#: Texts whose shingles a worker holds at once; rows and shingles of a block of texts that are all compared, and shingles whose
+#: truth values are held at once.
+SLICE, BLOCK_ROWS, BLOCK_SHINGLES, COLUMNS = 500, 512, 1 << 20, 4096
 #: Share of the pairs at the threshold that such a plan must make candidates; words of a wide fingerprint that are compared
 #: before the shingles are, and by how many standard deviations their distance may be above its mean.
-RECALL, CHECKED, SPREAD = 0.93, 2, 2
+RECALL, CHECKED, SPREAD = 0.997, 2, 3
 
 
 def fingerprint(text: bytes, shingle_words: int, n_words64: int = 1, seed: int = 42) -> list[int]:
@@ -122,7 +127,8 @@ def wide_plan(similarity: float) -> tuple[int, int, list[tuple[int, int, int, in
 
     At a similarity well below 1 too many bits differ for the pigeonhole to help, so the segments are many: the fewest words
     by which some segment agrees to within RADIUS at that similarity in RECALL of cases, by the model of independent bits, and
-    in more cases above it. The distance is that of the first CHECKED words and allows for SPREAD standard deviations.
+    in more cases above it. The words are ``permuted`` ones, so that less is found than by the model: 0.98 at 0.8, the tests'
+    figure. The distance is that of the first CHECKED words made of shingles and allows for SPREAD standard deviations.
     """
     part = expected_distance(similarity)
     missed = (1 - _agreement(part, WIDTH, RADIUS)) ** PER_WORD
@@ -132,6 +138,23 @@ def wide_plan(similarity: float) -> tuple[int, int, list[tuple[int, int, int, in
     return words, distance, [(w, i * WIDTH, WIDTH, RADIUS) for w in range(words) for i in range(PER_WORD)]
 
 
+def permuted(prints: DataFrame, names: list[str], compared: list[str], words: int) -> tuple[DataFrame, list[str]]:
+    """``prints`` (id, *names) as (id, *compared, p0, p1, ...), and the names of the latter: words of permuted bits of all ``names``."""
+    order = np.random.default_rng(PERMUTED)
+    bits = np.concatenate([order.permutation(64 * len(names))[:64] for _ in range(words)])
+    made = [f"p{j}" for j in range(words)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
+            own = np.stack([batch.column(n).to_numpy() for n in names], axis=1)
+            of = np.unpackbits(np.ascontiguousarray(own).view(np.uint8), axis=1, bitorder="little")
+            out = np.ascontiguousarray(np.packbits(of[:, bits], axis=1, bitorder="little")).view(np.int64)
+            columns = [batch.column(c) for c in ("id", *compared)] + [pa.array(np.ascontiguousarray(out[:, j])) for j in range(words)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", *compared, *made])
+
+    return prints.select("id", *names).mapInArrow(run, ", ".join(f"{c} long" for c in ["id", *compared, *made])), made
+
+
 def _entries(names: list[str], plan: list[tuple[int, int, int, int]], flipped: bool):
     """Keys under which a fingerprint stands in the tables of all segments, or by which it asks them."""
 
@@ -236,30 +259,36 @@ def near_duplicates(
     return prints.join(named, names).select("id", *names, *more, "component")
 
 
-def shingle_set(text: bytes, shingle_words: int, seed: int = 42) -> list[int]:
+def shingle_set(text: bytes, shingle_words: int, seed: int = 42) -> np.ndarray:
     """The distinct signed 64-bit hashes of a text's shingles, cut as for its fingerprint; none without words."""
     words = text.lower().split()
     if not words:
-        return []
+        return np.empty(0, np.int64)
     n = max(1, len(words) - shingle_words + 1)
-    return list({xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle_words]), seed) - (1 << 63) for i in range(n)})
+    hashes = (xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle_words]), seed) for i in range(n))
+    return np.unique(np.fromiter(hashes, np.uint64, n)).view(np.int64)
 
 
-def alike(found: DataFrame, texts: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
-    """Those (a, b) of ``found`` whose texts' shingles have a Jaccard similarity of ``similarity`` or more.
+def shingle_sets(found: DataFrame, texts: DataFrame, shingle_words: int) -> DataFrame:
+    """(content, shingles array<long>) of the texts that the links (a, b) of ``found`` name.
 
     ``texts`` has (content, text) rows, repeated ones too; only those that a link names are cut into shingles.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t, shingle_words) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["content", "shingles"])
+        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
+            sets = [shingle_set(t.as_py(), shingle_words) for t in batch.column(1)]
+            ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
+            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["content", "shingles"])
 
-    found = written(found, "candidates")
     linked = found.select(F.col("a").alias("content")).unionAll(found.select(F.col("b").alias("content"))).distinct()
     wanted = texts.join(linked, "content", "left_semi").dropDuplicates(["content"])
-    sets = written(wanted.select("content", "text").mapInArrow(run, "content long, shingles array<long>"), "shingles")
+    return written(wanted.select("content", "text").mapInArrow(run, "content long, shingles array<long>"), "shingles")
+
+
+def alike(found: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those (a, b) of ``found`` whose texts' ``sets`` have a Jaccard similarity of ``similarity`` or more."""
     a, b = (sets.select(F.col("content").alias(c), F.col("shingles").alias(f"of_{c}")) for c in "ab")
     common = F.size(F.array_intersect("of_a", "of_b"))
     union = F.size("of_a") + F.size("of_b") - common
@@ -267,6 +296,86 @@ def alike(found: DataFrame, texts: DataFrame, shingle_words: int, similarity: fl
     return found.join(a, "a").join(b, "b").where(near).select("a", "b")
 
 
+def similar_classes(classes: np.ndarray, sets: list[np.ndarray], asked: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links that join the classes of which a row of ``asked`` and any row are similar; as many as classes at most.
+
+    Exact: the shingles in common are counted for every pair, as products of the rows' truth values by shingle.
+    """
+    sizes = np.array([len(x) for x in sets])
+    common = np.zeros((len(asked), len(sets)), np.int64)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    _, column, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = n > 1
+    row, column = row[shared[column]], (np.cumsum(shared) - 1)[column[shared[column]]]
+    by = np.argsort(column, kind="stable")
+    row, column = row[by], column[by]
+    for at in range(0, int(shared.sum()), COLUMNS):
+        lo, hi = np.searchsorted(column, (at, at + COLUMNS))
+        has = np.zeros((len(sets), COLUMNS), np.float32)
+        has[row[lo:hi], column[lo:hi] - at] = 1
+        common += (has[asked] @ has.T).astype(np.int64)
+    union = sizes[asked][:, None] + sizes[None, :] - common
+    near = np.divide(common, union, out=np.ones(common.shape), where=union > 0) >= similarity
+    names, of = np.unique(classes, return_inverse=True)
+    x, y = np.nonzero(near & (of[asked][:, None] != of[None, :]))
+    pairs = np.unique(np.sort(np.stack([of[asked][x], of[y]], axis=1), axis=1), axis=0)
+    root = list(range(len(names)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    out = []
+    for i, j in pairs.tolist():
+        if (i := find(i)) != (j := find(j)):
+            root[max(i, j)] = min(i, j)
+            out.append((int(names[i]), int(names[j])))
+    return out
+
+
+def class_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) links between the classes of rough groups that hold similar texts: all that their texts' pairs make.
+
+    ``members`` has (content, rough, class). Every two texts of a rough group that are in different classes are compared, in
+    tasks of two blocks of bounded rows and shingles. Texts of the largest class are not compared with each other, nor
+    sent to more blocks than the others make; pairs stay inside their task, which gives out classes.
+    """
+    sized = members.join(sets.select("content", F.size("shingles").cast("long").alias("size")), "content")
+    by_class = sized.groupBy("rough", "class").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+    total = by_class.groupBy("rough").agg(
+        F.count("*").alias("classes"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.max(F.struct("n", "s", "class")).alias("hub")
+    ).where("classes > 1")
+    blocks = lambda n, s: F.greatest(F.ceil(n / BLOCK_ROWS), F.ceil(s / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    small = (F.col("n") <= BLOCK_ROWS) & (F.col("s") <= BLOCK_SHINGLES)
+    plan = total.select(
+        "rough", F.when(~small, F.col("hub.class")).alias("hub"),
+        F.when(small, 1).otherwise(blocks(F.col("n") - F.col("hub.n"), F.col("s") - F.col("hub.s"))).alias("own"),
+        F.when(small, 0).otherwise(blocks(F.col("hub.n"), F.col("hub.s"))).alias("hubs"),
+    )
+    rows = members.join(written(plan, "blocks"), "rough").withColumn("in_hub", F.coalesce(F.col("class") == F.col("hub"), F.lit(False)))
+    block = F.when(F.col("in_hub"), F.col("own") + F.pmod(F.xxhash64("content"), "hubs")).otherwise(F.pmod(F.xxhash64("content"), "own"))
+    rows = rows.withColumn("block", block.cast("int"))
+    last = F.when(F.col("in_hub"), F.col("own")).otherwise(F.col("own") + F.col("hubs")) - 1
+    other = F.explode(F.sequence(F.lit(0), last)).alias("other")
+    dealt = rows.select("content", "rough", "class", "block", other).select(
+        "content", "rough", "class", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
+    )
+
+    def compare(table: pa.Table) -> pa.Table:
+        block, i, j = (table.column(c).to_numpy() for c in ("block", "i", "j"))
+        # a task of two blocks asks by the first; the first with itself is a task of its own
+        asked = np.flatnonzero(block == i[0])
+        if i[0] != j[0] and (len(asked) == len(block) or not len(asked)):
+            found = []
+        else:
+            sets = [x.values.to_numpy() for x in table.column("shingles").combine_chunks()]
+            found = similar_classes(table.column("class").to_numpy(), sets, asked, similarity)
+        return pa.table({c: pa.array([x[k] for x in found], pa.int64()) for k, c in enumerate("ab")})
+
+    return dealt.join(sets, "content").groupBy("rough", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
 def medoid_links(grouped: DataFrame, compared: list[str]) -> DataFrame:
     """(a, b) links between the most central row of every group and its others: as many as rows at most.
 
@@ -292,9 +401,9 @@ def deduplicate(
 
     Near copies have a Jaccard similarity of their word shingles of ``similarity`` or more. Wide fingerprints that are near each
     other make rough groups; in these every text is compared by its shingles with the least of each table entry that it shares
-    and with the group's most central text, and what is similar enough joins. So no text goes without a chain of real near
-    copies to one that stays, work grows with the texts and not with a group's pairs, and of a large group of texts just below
-    the similarity no pairs are listed; two texts of a rough group that are similar to each other but to none of these stay both.
+    and with the group's most central text, and what is similar enough makes classes. Then all texts of a rough group that are
+    in different classes are compared. So no text goes without a chain of real near copies to one that stays, and in a rough
+    group no two that are similar stay both. Pairs are never listed; those of a rough group's classes are all compared.
 
     Texts are linked whatever their ids: null ones too, and rows that share an id but not the text are as any
     other two. The row of the smallest id stays, the first text by its hash where several have that id, and once only if it
@@ -302,19 +411,26 @@ def deduplicate(
     gives an empty one. Texts of any length are taken whole, and are told apart by 64 bits of hash.
     """
     words, distance, plan = wide_plan(similarity)
-    names = [f"f{j}" for j in range(words)]
+    names = [f"f{j}" for j in range(MADE)]
     compared = names[:CHECKED]
-    prints = fingerprints(docs, id_col, text_col, shingle_words, words, "content")
+    prints = fingerprints(docs, id_col, text_col, shingle_words, MADE, "content")
     nodes = written(prints.groupBy("content", *names).agg(F.min("id").alias("least")), "nodes")
     texts = docs.select(
         _content(F.col(text_col)).alias("content"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text")
     )
-    points = nodes.select(F.col("content").alias("id"), *names)
-    rough = points.join(groups(points, names, distance, plan, compared), "id").select("id", "component", *compared)
-    found = star_links(points, names, distance, plan, compared).unionAll(medoid_links(rough, compared))
+    points, made = permuted(nodes.withColumnRenamed("content", "id"), names, compared, words)
+    points = written(points, "points")
+    rough = written(points.join(groups(points, made, distance, plan, compared), "id").select("id", "component", *compared), "rough")
+    found = star_links(points, made, distance, plan, compared).unionAll(medoid_links(rough, compared))
     ends = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    linked = components(alike(ends, texts, shingle_words, similarity)).withColumnRenamed("node", "content")
-    grouped = nodes.join(linked, "content", "left").withColumn("component", F.coalesce("component", "content"))
+    ends = written(ends, "candidates")
+    forget(points)
+    sets = shingle_sets(ends, texts, shingle_words)
+    linked = written(components(alike(ends, sets, similarity)), "classes").withColumnsRenamed({"node": "content", "component": "class"})
+    members = rough.select(F.col("id").alias("content"), F.col("component").alias("rough")).join(linked, "content", "left")
+    over = components(class_links(members.withColumn("class", F.coalesce("class", "content")), sets, similarity))
+    grouped = nodes.join(linked, "content", "left").withColumn("class", F.coalesce("class", "content"))
+    grouped = grouped.join(over.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     first = F.min(F.struct(F.col("least").isNull().alias("unnamed"), "least", "content")).alias("first")
     firsts = grouped.groupBy("component").agg(first).select("first.*")
     key = lambda id_: F.coalesce(id_.cast("long"), F.lit(-(2**63)))

@@ -168,6 +168,26 @@ def test_the_wide_plan_finds_pairs_at_the_threshold(similarity, least):
     assert (candidate & near).mean() >= least
 
 
+@pytest.mark.parametrize("similarity, least", [(0.8, 0.975), (0.85, 0.995), (0.9, 0.999)])
+def test_permuted_words_find_pairs_at_the_threshold(spark, similarity, least):
+    words, distance, plan = simhash.wide_plan(0.8)
+    rng = np.random.default_rng(4)
+    a = rng.random((4000, 64 * simhash.MADE)) < 0.5
+    b = a ^ (rng.random(a.shape) < simhash.expected_distance(similarity))
+    names = [f"f{j}" for j in range(simhash.MADE)]
+    both = np.ascontiguousarray(np.packbits(np.concatenate([a, b]), axis=1, bitorder="little")).view(np.int64)
+    prints = spark.createDataFrame([(i, *map(int, row)) for i, row in enumerate(both)], "id long, " + ", ".join(f"{n} long" for n in names))
+    points, made = simhash.permuted(prints, names, names[:2], words)
+    rows = np.array(sorted(tuple(r) for r in points.collect()))
+    assert (rows[:, 1:3] == both[:, :2]).all() and len(made) == words
+    x, y = np.ascontiguousarray(rows[:4000].T).T, np.ascontiguousarray(rows[4000:].T).T
+    near = sum(np.bitwise_count((x[:, j] ^ y[:, j]).view(np.uint64)) for j in (1, 2)) <= distance
+    candidate = np.zeros(4000, bool)
+    for w, shift, width, radius in plan:
+        candidate |= np.bitwise_count((x[:, 3 + w] ^ y[:, 3 + w]) >> shift & (1 << width) - 1) <= radius
+    assert (candidate & near).mean() >= least
+
+
 def test_deduplicate_at_the_threshold(spark):
     rng = np.random.default_rng(6)
     vocabulary = [f"w{i}" for i in range(5000)]
@@ -196,6 +216,43 @@ def test_a_large_group_just_below_the_similarity_lists_no_pairs(spark):
     assert all(i in kept for i, w in enumerate(copies, 2) if jaccard(base, w) < 0.6)
 
 
+def test_similar_texts_of_a_rough_group_are_joined_far_from_its_centre(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in rng.integers(0, 5000, 300)]
+    rows = [(0, base)]
+    for i in range(150):  # each too far from the base and the others, and a copy of each that is near to it only
+        variant = list(base)
+        for at in rng.choice(np.arange(5, 295, 10), 8, replace=False):
+            variant[at] = f"new{rng.integers(10**9)}"
+        rows += [(2 * i + 1, variant), (2 * i + 2, [*variant[:-3], "last", *variant[-2:]])]
+    assert all(jaccard(base, w) < 0.8 for _, w in rows[1:]) and jaccard(rows[1][1], rows[2][1]) > 0.9
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").persist()
+    want = {0, *range(1, 301, 2)}
+    assert {r.doc_id for r in simhash.deduplicate(docs).collect()} == want
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 40)  # in many blocks
+    assert {r.doc_id for r in simhash.deduplicate(docs).collect()} == want
+
+
+def test_similar_classes_match_brute_force():
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.choice(40, rng.integers(0, 30))) for _ in range(60)] + [np.empty(0, int)] * 2
+    sets += [np.unique(np.append(x[:-1], 50)) for x in sets[:20]]
+    classes = rng.permutation(len(sets)) // 2
+    root = {int(c): int(c) for c in classes}
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for (a, x), (b, y) in combinations(zip(classes.tolist(), map(set, sets), strict=True), 2):
+        if not x | y or len(x & y) / len(x | y) >= 0.8:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    want = {c: find(c) for c in root}
+    root = {c: c for c in root}
+    for a, b in simhash.similar_classes(classes, sets, np.arange(len(sets)), 0.8):
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    assert {c: find(c) for c in root} == want and len(set(want.values())) < len(want) - 5
+
+
 def test_texts_without_ids_have_near_copies(spark):
     words = [f"w{i}" for i in range(100)]
     rows = [(None, " ".join(words)), (None, " ".join(words[:-1] + ["other"])), (7, " ".join(words[1:])), (None, "p q r s t u")]
