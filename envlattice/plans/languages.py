@@ -125,23 +125,24 @@ FILES = 50
 
 
 def files(orders: DataFrame, language: str, shapes: list[Shape]) -> DataFrame:
-    """(path, language, class, text) of the files of all shapes."""
-    key = F.concat(F.lit("KEY_"), F.col("o_custkey").cast("string"))
-    lines = F.array(
+    """(path, language, class, text) of the files of all shapes.
+
+    Only the orders' keys are gathered by file, once for all shapes; a task then makes one text at a time.
+    """
+    keys = orders.select((F.col("o_custkey") % FILES).alias("file"), "o_orderkey", "o_custkey").repartition(FILES, "file")
+    each = keys.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_custkey"))).alias("keys"))
+    made = F.array(
         *(
-            F.struct(
-                F.concat(F.lit(f"{language}/s{i}/f"), (F.col("o_custkey") % FILES).cast("string")).alias("path"),
-                F.lit(shape.header).alias("header"),
-                F.concat(F.lit(shape.parts[0]), key, F.lit(shape.parts[1])).alias("line"),
-            )
+            F.struct(F.lit(f"{language}/s{i}/f").alias("folder"), F.lit(shape.header).alias("header"), *map(F.lit, shape.parts))
             for i, shape in enumerate(shapes)
         )
-    )
-    each = orders.select("o_orderkey", F.explode(lines).alias("s")).select("o_orderkey", "s.*")
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "line"))), lambda x: x["line"]), "\n")
-    return each.groupBy("path").agg(F.concat(F.first("header"), body).alias("text")).select(
-        "path", F.lit(language).alias("language"), F.lit("code").alias("class"), "text"
-    )
+    ).cast("array<struct<folder: string, header: string, before: string, after: string>>")
+    each = each.select("file", "keys", F.explode(made).alias("s"))
+    line = lambda x: F.concat("s.before", F.lit("KEY_"), x["o_custkey"].cast("string"), "s.after")
+    return each.select(
+        F.concat("s.folder", F.col("file").cast("string")).alias("path"), F.lit(language).alias("language"),
+        F.lit("code").alias("class"), F.concat("s.header", F.array_join(F.transform("keys", line), "\n")).alias("text"),
+    )
 
 
 def _query(language: str, shapes: list[Shape]):

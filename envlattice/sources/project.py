@@ -39,26 +39,42 @@ def dotenv_paths(path: str, text: str) -> list[dict]:
     return out
 
 
-def _mapped(files: DataFrame, schema, rows: Callable[[str, str, str, str], list]) -> DataFrame:
-    """A relation from texts: ``rows`` gives tuples or dictionaries; a file that a reader fails on gives none."""
+#: Rows that a reader's task gives out at once.
+ROWS = 20_000
+
+
+def _mapped(files: DataFrame, schema, rows: Callable[..., list], *more: str) -> DataFrame:
+    """A relation from texts: ``rows`` gives tuples or dictionaries; a file that a reader fails on gives none.
+
+    A task holds one file's text and rows at a time. ``more`` names further columns that ``rows`` gets.
+    """
     names = schema.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         kinds = to_arrow_schema(schema)
+
+        def given(found: list) -> pa.RecordBatch:
+            found = [tuple(r[n] for n in names) if isinstance(r, dict) else r for r in found]
+            columns = list(zip(*found, strict=True)) if found else [[] for _ in names]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.types, strict=True)], schema=kinds)
+
+        found: list = []
         for batch in batches:
-            found = []
-            for path, language, kind, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for at in range(batch.num_rows):
+                path, language, kind, text, *others = (c[at].as_py() for c in batch.columns)
                 try:
-                    found += rows(path, language, kind, text or "")
+                    found += rows(path, language, kind, text or "", *others)
                 except Exception:  # noqa: BLE001, S112  one odd file must not end the scan
                     continue
-            found = [tuple(r[n] for n in names) if isinstance(r, dict) else r for r in found]
-            columns = list(zip(*found, strict=True)) if found else [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.types, strict=True)], schema=kinds)
+                if len(found) >= ROWS:
+                    for i in range(0, len(found), ROWS):
+                        yield given(found[i : i + ROWS])
+                    found = []
+        yield given(found)
 
-    return files.select("path", "language", "class", "text").mapInArrow(run, schema)
+    return files.select("path", "language", "class", "text", *more).mapInArrow(run, schema)
 
 
 def _infra(path: str, language: str, kind: str, text: str) -> list[dict]:

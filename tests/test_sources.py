@@ -263,3 +263,46 @@ def test_eight_times_the_input_takes_no_more_than_fifteen_times_the_time(read, l
 def test_positions_of_wide_letters():
     assert [r["column"] for r in dockerfile.scan("Dockerfile", "RUN 🙂 $A \\\n  é $B")] == [9, 6]
     assert [r["column"] for r in compose.scan("compose.yml", "a: 🙂 ${B}")] == [7]
+
+
+def test_a_task_gives_out_bounded_batches_file_by_file(spark, monkeypatch):
+    import pyarrow as pa
+
+    from envlattice import schemas
+    from envlattice.sources import accessors, project
+
+    class Files:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return run
+
+    n = 2 * project.ROWS + 5
+    text = "\n".join(f"os.getenv('KEY_{i}')" for i in range(n))
+    read = []
+
+    def rows(path, language, kind, text):
+        read.append(path)
+        return accessors.scan(path, text, language)
+
+    files = pa.RecordBatch.from_pydict({"path": ["a", "b"], "language": ["python"] * 2, "class": ["code"] * 2, "text": [text, "os.getenv('LAST')"]})
+    out = project._mapped(Files(), schemas.USAGES, rows)(iter([files]))
+    first = next(out)
+    assert first.num_rows == project.ROWS and read == ["a"]  # before the next file is read
+    rest = [b.num_rows for b in out]
+    assert max(rest) <= project.ROWS and sum(rest) + first.num_rows == n + 1
+
+
+def test_the_queries_of_languages_gather_keys_once(spark, tmp_path):
+    from envlattice.plans import languages
+
+    spark.createDataFrame([(i, i % 7) for i in range(40)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    language, shapes = languages.LANGUAGES["src26_typescript"]
+    orders = spark.read.parquet(f"{tmp_path}/orders.parquet")
+    made = languages.files(orders, language, shapes)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate")  # shapes are made of what was gathered, not gathered
+    texts = {r.path: r.text for r in made.collect()}
+    assert len(texts) == 7 * len(shapes)
+    assert texts["typescript/s8/f3"] == shapes[8].header + "\n".join(["x(env.KEY_3);"] * 6)
