@@ -5,7 +5,11 @@ Each order is a line of one of 50 files. ``k`` and ``v`` are a key's number and
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
@@ -20,6 +24,10 @@ SELECT CONCAT('{folder}f', CAST(o_custkey % 50 AS STRING), '{suffix}') AS path,
 FROM {{orders}}"""
 
 
+#: Order keys of a piece, which bound its lines as each order gives one; partitions in which pieces are made and read.
+PIECE, PARTS = 1 << 15, 64
+
+
 def _case(forms: list[str]) -> str:
     return "CASE form " + " ".join(f"WHEN {i} THEN {f}" for i, f in enumerate(forms)) + " END"
 
@@ -46,6 +54,23 @@ class Made:
             "path", F.lit(self.language).alias("language"), F.lit(self.kind).alias("class"), "text"
         )
 
+    def pieces(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        """(path, language, class, text, piece, first) of the files' pieces of whole lines; ``first`` is a piece's first line."""
+        orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+        line = spark.sql(self.lines, orders=orders).selectExpr("path", f"ord DIV {PIECE} AS piece", "ord", f"{_case(self.forms)} AS line")
+        body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"]), "\n")
+        each = line.repartition(PARTS, "path", "piece").groupBy("path", "piece").agg(body.alias("body"))
+        before = Window.partitionBy("path").orderBy("piece")
+        count = line.groupBy("path", "piece").agg(F.count("*").alias("n")).select(
+            "path", "piece", (F.sum("n").over(before) - F.col("n") + 1).alias("first")
+        )
+        header = F.when(F.col("first") == 1, F.lit(self.header)).otherwise(F.lit(""))
+        start = F.when(F.col("first") == 1, F.col("first")).otherwise(F.col("first") + self.header.count("\n"))
+        return each.join(count, ["path", "piece"]).select(
+            "path", F.lit(self.language).alias("language"), F.lit(self.kind).alias("class"), F.concat(header, "body").alias("text"),
+            "piece", start.cast("int").alias("first"),
+        )
+
     def oracle(self, select: str) -> str:
         lines = self.lines.format(orders="orders")
         first = self.header.count("\n")
@@ -158,6 +183,36 @@ def _infra(scan):
     return run
 
 
+ABOVE = "path string, piece long, above array<string>"
+
+
+def _ci_pieces(pieces: DataFrame) -> DataFrame:
+    """CI files of any length: each piece is read below the lines that are open where it starts.
+
+    A piece's own open lines are few, and those of all pieces of a file are put together in their order.
+    """
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [ci.open_lines(re.split(r"\r\n|\n|\r", text.as_py())) for text in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.string()))], ["path", "piece", "above"])
+
+    def together(table: pa.Table) -> pa.Table:
+        table, above, now = table.sort_by("piece"), [], []
+        for own in table.column("above").to_pylist():
+            above.append(now)
+            now = ci.open_lines([*now, *own])
+        return table.set_column(2, "above", pa.array(above, pa.list_(pa.string())))
+
+    own = pieces.select("path", "piece", "text").mapInArrow(ends, ABOVE)
+    above = own.groupBy("path").applyInArrow(together, ABOVE)
+    found = _mapped(
+        pieces.join(above, ["path", "piece"]), schemas.INFRA,
+        lambda path, language, kind, text, first, above: ci.scan(path, text, first, above), "first", "above",
+    )
+    return found.selectExpr("name", "file", "line", "`column` AS col", "kind", "required", "interpolation")
+
+
 FORMATTED = StructType([StructField("file", StringType()), StructField("place", LongType()), StructField("text", StringType())])
 
 
@@ -180,7 +235,7 @@ _READERS = {
     "src35_github": (GITHUB, _infra(ci.scan), GITHUB_SQL),
     "src41_dotenv_paths": (LOADED, _infra(dotenv_paths), LOADED_SQL),
     "src36_gitlab": (GITLAB, _infra(ci.scan), _VALUES_SQL),
-    "src37_azure": (AZURE, _infra(ci.scan), _VALUES_SQL),
+    "src37_azure": (AZURE, _ci_pieces, _VALUES_SQL),
     "src38_circleci": (CIRCLE, _infra(ci.scan), _VALUES_SQL),
     "snk08_formatted": (LOOSE, _formatted, LOOSE_SQL),
     "src43_markers": (MARKED, lambda files: markers.markers(files.select("path", "text")), MARKED_SQL),
@@ -188,6 +243,8 @@ _READERS = {
 
 
 def _query(made: Made, read):
+    if read is _ci_pieces:
+        return lambda spark, sf_dir: read(made.pieces(spark, sf_dir))
     return lambda spark, sf_dir: read(made.files(spark, sf_dir))
 
 

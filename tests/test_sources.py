@@ -306,3 +306,40 @@ def test_the_queries_of_languages_gather_keys_once(spark, tmp_path):
     texts = {r.path: r.text for r in made.collect()}
     assert len(texts) == 7 * len(shapes)
     assert texts["typescript/s8/f3"] == shapes[8].header + "\n".join(["x(env.KEY_3);"] * 6)
+
+
+def test_ci_files_in_pieces_are_read_as_whole():
+    import random
+
+    from envlattice.sources import ci
+
+    rng = random.Random(5)
+    forms = ["variables:", "env:", "KEY: $(REF)", "K: ''", "- name: A", "- variables:", "- # c", "# KEY: $(NO)", "", "script: echo $A", "- x",
+             "environment:", "---", "steps:", "- - K: ${B}", "\tT: 1", "\ufeffV: 2"]
+    for path in ("azure-pipelines.yml", ".github/workflows/a.yml", ".gitlab-ci.yml", ".circleci/config.yml"):
+        some = 0
+        for _ in range(1000):
+            lines = [" " * rng.choice([0, 0, 1, 2, 2, 4, 6]) + rng.choice(forms) for _ in range(rng.randrange(2, 30))]
+            want = ci.scan(path, "\n".join(lines))
+            got, above, at = [], [], 0
+            while at < len(lines):
+                n = rng.randrange(1, 8)
+                got += ci.scan(path, "\n".join(lines[at : at + n]), at + 1, above)
+                above = ci.open_lines([*above, *ci.open_lines(lines[at : at + n])])
+                at += n
+            assert got == want, (path, lines)
+            some += len(want)
+        assert some > 300
+
+
+def test_azure_query_reads_one_file_in_pieces(spark, tmp_path, monkeypatch):
+    import duckdb
+
+    from envlattice.plans import texts
+
+    spark.createDataFrame([(i * 3, i % 11) for i in range(500)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    monkeypatch.setattr(texts, "PIECE", 100)
+    assert texts.AZURE.pieces(spark, str(tmp_path)).count() == 15
+    duckdb.sql(f"CREATE OR REPLACE TEMP VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    want = duckdb.sql(texts.ORACLES["src37_azure"]).fetchall()
+    assert sorted(map(tuple, texts.QUERIES["src37_azure"](spark, str(tmp_path)).collect())) == sorted(want)
