@@ -24,6 +24,8 @@ SEGMENTS = 3
 PER_WORD, WIDTH, RADIUS = 3, 20, 0
 #: Words of a wide fingerprint that are made of shingles; the plan's words are permutations of their bits, by this seed.
 MADE, PERMUTED = 8, 20
+#: Segments by whose least rows groups are joined first; all segments' links follow, so that this number decides no result.
+STARS = 15
 #: Texts whose shingles a worker holds at once; rows and shingles of a block of texts that are all compared, and shingles whose
 #: truth values are held at once.
 SLICE, BLOCK_ROWS, BLOCK_SHINGLES, COLUMNS = 500, 512, 1 << 20, 4096
@@ -171,7 +173,10 @@ def _entries(names: list[str], plan: list[tuple[int, int, int, int]], flipped: b
 def star_links(
     prints: DataFrame, names: list[str], max_distance: int, plan: list[tuple[int, int, int, int]], compared: list[str] | None = None
 ) -> DataFrame:
-    """(a, b) links between rows and the smallest id of each table entry they stand under: as many as entries at most."""
+    """(a, b) links between rows and the smallest id of each table entry they stand under: as many as entries at most.
+
+    ``plan`` may be a part of a plan.
+    """
     compared = compared or names
     t = prints.select("id", *compared, _entries(names, plan, False).alias("key"))
     first = t.groupBy("key").agg(F.min(F.struct("id", *compared)).alias("s"), F.count("*").alias("n")).where("n > 1")
@@ -215,7 +220,7 @@ def groups(
     they have rows. Then rows are compared with all others of an entry, but links are given out only between what is
     not joined yet, so that no group's pairs are ever listed and yet no link between two groups is lost.
     """
-    stars = written(star_links(prints, names, max_distance, plan, compared), "stars")
+    stars = written(star_links(prints, names, max_distance, plan[:STARS], compared), "stars")
     joined = components(stars).withColumnsRenamed({"node": "id", "component": "group"})  # reads its own last table only
     forget(stars)
     grouped = written(prints.join(joined, "id", "left").withColumn("group", F.coalesce("group", "id")), "grouped")
@@ -421,7 +426,7 @@ def deduplicate(
     points, made = permuted(nodes.withColumnRenamed("content", "id"), names, compared, words)
     points = written(points, "points")
     rough = written(points.join(groups(points, made, distance, plan, compared), "id").select("id", "component", *compared), "rough")
-    found = star_links(points, made, distance, plan, compared).unionAll(medoid_links(rough, compared))
+    found = star_links(points, made, distance, plan[:STARS], compared).unionAll(medoid_links(rough, compared))
     ends = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     ends = written(ends, "candidates")
     forget(points)
