@@ -16,8 +16,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Encoded pieces of a generation; a Python worker remembers two. Frequent pieces move on to the new one, others go.
-REMEMBERED = 1 << 18
+from .common import returning
+
+#: Encoded pieces of a generation; a task remembers two. Frequent pieces move on to the new one, others go.
+REMEMBERED = 1 << 17
+#: Rows that are turned into Python objects and given out at once.
+SLICE = 500
 
 # The pattern by which byte-level vocabularies of this kind cut text into pieces, and the code points that
 # this regex library takes for letters or numbers and the tokenizer library, of an earlier Unicode version, does not.
@@ -91,6 +95,10 @@ class Bpe:
         self.added = {t: array("I", [i]).tobytes() for t, i in added.items()}
         longest_first = sorted(map(regex.escape, added), key=len, reverse=True)
         self.cut = regex.compile(f"({'|'.join(longest_first)})") if added else None
+        self.forget()
+
+    def forget(self) -> None:
+        """Drops the pieces that are remembered."""
         self.known = _Known(self, {})
 
     def merge(self, piece: bytes) -> list[int]:
@@ -169,17 +177,18 @@ def load(path: str) -> Bpe:
     return Bpe(path)
 
 
-def _map(docs: DataFrame, id_col: str, col: str, kind: str, schema: str, row: Callable) -> DataFrame:
+def _map(docs: DataFrame, vocabulary: str, id_col: str, col: str, kind: str, schema: str, row: Callable) -> DataFrame:
+    """(id, ...) by ``row``, which gets a task's ``Bpe`` and a value; pieces are remembered within a task."""
     names = [f.split(" ")[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [row(v) for v in batch.column(1).to_pylist()]
-            columns = zip(*rows, strict=True) if rows else [[] for _ in names]
+        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
+            rows = [row(load(vocabulary), v) for v in batch.column(1).to_pylist()]
+            columns = zip(*rows, strict=True)
             yield pa.RecordBatch.from_pydict({"id": batch.column(0)} | dict(zip(names, map(list, columns), strict=True)))
 
     source = docs.select(F.col(id_col).alias("id"), F.col(col).cast(kind).alias("value"))
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, {schema}")
+    return source.mapInArrow(returning(run, lambda: load(vocabulary).forget()), f"id {source.schema['id'].dataType.simpleString()}, {schema}")
 
 
 def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -189,16 +198,16 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     an empty table gives an empty one. No other column is read, whatever its name.
     """
 
-    def row(text: str | None) -> tuple[int, bytes]:
-        ids = load(vocabulary).encode(text or "")
+    def row(bpe: Bpe, text: str | None) -> tuple[int, bytes]:
+        ids = bpe.encode(text or "")
         return len(ids) // 4, ids
 
-    return _map(docs, id_col, text_col, "string", "n_tokens long, ids binary", row)
+    return _map(docs, vocabulary, id_col, text_col, "string", "n_tokens long, ids binary", row)
 
 
 def decode(encoded: DataFrame, vocabulary: str, id_col: str = "id", ids_col: str = "ids") -> DataFrame:
     """(id, text string) per row of ids; null ids count as none."""
-    return _map(encoded, id_col, ids_col, "binary", "text string", lambda ids: (load(vocabulary).decode(ids or b"").decode(),))
+    return _map(encoded, vocabulary, id_col, ids_col, "binary", "text string", lambda bpe, ids: (bpe.decode(ids or b"").decode(),))
 
 
 def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -207,9 +216,8 @@ def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
     Nulls, repeated rows, long texts and an empty table are as for ``encode``.
     """
 
-    def row(text: str | None) -> tuple[int, str, str]:
-        bpe = load(vocabulary)
+    def row(bpe: Bpe, text: str | None) -> tuple[int, str, str]:
         ids = bpe.encode(text or "")
         return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()
 
-    return _map(docs, id_col, text_col, "string", "n_tokens long, ids_sha256 string, decoded_sha256 string", row)
+    return _map(docs, vocabulary, id_col, text_col, "string", "n_tokens long, ids_sha256 string, decoded_sha256 string", row)

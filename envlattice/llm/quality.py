@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import returning, written
 from .substrings import word_hashes
 
 SYMBOLS = b"#*$%&|<>"
@@ -86,7 +86,7 @@ def features(docs: DataFrame, text_col: str = "text", keep: list[str] | None = N
 
     kinds = ", ".join(f"{c}: long" for c in COUNTS)
     row = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(run, f"row {row}, quality_counts struct<{kinds}>")
+    return rows.mapInArrow(returning(run), f"row {row}, quality_counts struct<{kinds}>")
 
 
 def base_failed(c) -> Column:

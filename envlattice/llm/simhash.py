@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, written
+from .common import forget, returning, written
 from .components import components
 
 #: Shingles whose bits are counted at once, so that a text of any length takes a bounded amount of memory.
@@ -76,7 +76,7 @@ def fingerprints(
     names = [f"f{j}" for j in range(n_words64)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             prints = [fingerprint(t or b"", shingle_words, n_words64) for t in batch.column(1).to_pylist()]
             columns = np.array(prints, np.int64).reshape(-1, n_words64)
             yield pa.RecordBatch.from_arrays(
@@ -87,7 +87,7 @@ def fingerprints(
     rows = docs.select(
         F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), *(_content(F.col(text_col)).alias(c) for c in more)
     )
-    return rows.mapInArrow(run, "id long, " + ", ".join(f"{n} long" for n in [*names, *more]))
+    return rows.mapInArrow(returning(run), "id long, " + ", ".join(f"{n} long" for n in [*names, *more]))
 
 
 def segments(max_distance: int) -> list[tuple[int, int, int]]:
@@ -154,7 +154,7 @@ def permuted(prints: DataFrame, names: list[str], compared: list[str], words: in
             columns = [batch.column(c) for c in ("id", *compared)] + [pa.array(np.ascontiguousarray(out[:, j])) for j in range(words)]
             yield pa.RecordBatch.from_arrays(columns, ["id", *compared, *made])
 
-    return prints.select("id", *names).mapInArrow(run, ", ".join(f"{c} long" for c in ["id", *compared, *made])), made
+    return prints.select("id", *names).mapInArrow(returning(run), ", ".join(f"{c} long" for c in ["id", *compared, *made])), made
 
 
 def _entries(names: list[str], plan: list[tuple[int, int, int, int]], flipped: bool):
@@ -289,7 +289,7 @@ def shingle_sets(found: DataFrame, texts: DataFrame, shingle_words: int) -> Data
 
     linked = found.select(F.col("a").alias("content")).unionAll(found.select(F.col("b").alias("content"))).distinct()
     wanted = texts.join(linked, "content", "left_semi").dropDuplicates(["content"])
-    return written(wanted.select("content", "text").mapInArrow(run, "content long, shingles array<long>"), "shingles")
+    return written(wanted.select("content", "text").mapInArrow(returning(run), "content long, shingles array<long>"), "shingles")
 
 
 def alike(found: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:

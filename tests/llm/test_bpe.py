@@ -66,3 +66,33 @@ def test_nulls_repeats_and_no_rows(spark):
 def test_ids_that_are_not_text(ids):
     packed = b"".join(i.to_bytes(4, "little") for i in ids)
     assert bpe.load(PATH).decode(packed).decode() == THEIRS.decode(ids, skip_special_tokens=False)
+
+
+def test_a_task_remembers_no_pieces_and_gives_out_bounded_batches(monkeypatch):
+    import pyarrow as pa
+
+    from envlattice.llm import common
+
+    class Docs:
+        columns = schema = None
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return run
+
+    class Id:
+        dataType = type("Long", (), {"simpleString": staticmethod(lambda: "bigint")})  # noqa: N815
+
+    Docs.schema = {"id": Id}
+    given_back = []
+    monkeypatch.setattr(common, "give_back", lambda: given_back.append(len(bpe.load(PATH).known)))
+    monkeypatch.setattr(bpe.F, "col", lambda name: type("C", (), {"alias": lambda s, n: s, "cast": lambda s, t: s})())
+    texts = [f"word{i} again {i * 7919}" for i in range(1300)]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "value": texts})
+    out = list(bpe.encode(Docs(), PATH)(iter([batch])))
+    assert max(b.num_rows for b in out) <= 500
+    assert [i for b in out for i in b.column(0).to_pylist()] == list(range(len(texts)))
+    assert [i for b in out for i in b.column(2).to_pylist()] == [bpe.load(PATH).encode(t) for t in texts]
+    assert given_back == [0]  # idle workers hold no pieces
