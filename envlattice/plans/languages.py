@@ -121,13 +121,14 @@ LANGUAGES: dict[str, tuple[str, list[Shape]]] = {
         Shape('System.fetch_env!(@"KEY")', "System.fetch_env", False, True),
     ]),
 }
-FILES = 50
+#: Files of a shape, and lines of a piece of one: what goes to Python at once is bounded by rows.
+FILES, PIECE = 50, 32
 
 
 def files(orders: DataFrame, language: str, shapes: list[Shape]) -> DataFrame:
-    """(path, language, class, text) of the files of all shapes.
+    """(path, language, class, text, last) of the files of all shapes, in pieces of whole lines; a file's pieces follow each other.
 
-    Only the orders' keys are gathered by file, once for all shapes; a task then makes one text at a time.
+    Only the orders' keys are gathered by file, once for all shapes; a task then makes one file's pieces at a time.
     """
     keys = orders.select((F.col("o_custkey") % FILES).alias("file"), "o_orderkey", "o_custkey").repartition(FILES, "file")
     each = keys.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_custkey"))).alias("keys"))
@@ -139,16 +140,25 @@ def files(orders: DataFrame, language: str, shapes: list[Shape]) -> DataFrame:
     ).cast("array<struct<folder: string, header: string, before: string, after: string>>")
     each = each.select("file", "keys", F.explode(made).alias("s"))
     line = lambda x: F.concat("s.before", F.lit("KEY_"), x["o_custkey"].cast("string"), "s.after")
-    return each.select(
-        F.concat("s.folder", F.col("file").cast("string")).alias("path"), F.lit(language).alias("language"),
-        F.lit("code").alias("class"), F.concat("s.header", F.array_join(F.transform("keys", line), "\n")).alias("text"),
+
+    def piece(i):
+        lines = F.array_join(F.transform(F.slice("keys", i, PIECE), line), "\n")
+        last = i + PIECE > F.size("keys")
+        start = F.when(i == 1, F.col("s.header")).otherwise("")
+        return F.struct(F.concat(start, lines, F.when(last, "").otherwise("\n")).alias("text"), last.alias("last"))
+
+    cut = F.transform(F.sequence(F.lit(1), F.size("keys"), F.lit(PIECE)), piece)
+    return each.select("file", "s.folder", F.explode(cut).alias("p")).select(
+        F.concat("folder", F.col("file").cast("string")).alias("path"), F.lit(language).alias("language"),
+        F.lit("code").alias("class"), "p.text", "p.last",
     )
 
 
 def _query(language: str, shapes: list[Shape]):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-        found = _mapped(files(orders, language, shapes), schemas.USAGES, lambda path, own, kind, text: accessors.scan(path, text, own))
+        scan = lambda path, own, kind, text: accessors.scan(path, text, own)
+        found = _mapped(files(orders, language, shapes), schemas.USAGES, scan, pieces=True)
         return found.selectExpr(
             "name", "file", "line", "`column` AS col", "accessor", "has_fallback", "required", "via_import", "fallback_literal"
         )

@@ -43,10 +43,11 @@ def dotenv_paths(path: str, text: str) -> list[dict]:
 ROWS = 20_000
 
 
-def _mapped(files: DataFrame, schema, rows: Callable[..., list], *more: str) -> DataFrame:
+def _mapped(files: DataFrame, schema, rows: Callable[..., list], *more: str, pieces: bool = False) -> DataFrame:
     """A relation from texts: ``rows`` gives tuples or dictionaries; a file that a reader fails on gives none.
 
-    A task holds one file's text and rows at a time. ``more`` names further columns that ``rows`` gets.
+    A task holds one file's text and rows at a time. ``more`` names further columns that ``rows`` gets. With ``pieces`` a text may
+    come in several rows, one behind the other, and a column ``last`` is true in its last row only.
     """
     names = schema.fieldNames()
 
@@ -61,9 +62,18 @@ def _mapped(files: DataFrame, schema, rows: Callable[..., list], *more: str) ->
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.types, strict=True)], schema=kinds)
 
         found: list = []
+        parts: list[str] = []
         for batch in batches:
             for at in range(batch.num_rows):
+                if pieces:
+                    parts.append(batch.column(3)[at].as_py() or "")
+                    if not batch.column(4)[at].as_py():
+                        continue
                 path, language, kind, text, *others = (c[at].as_py() for c in batch.columns)
+                if pieces:
+                    _, *others = others
+                    text = "".join(parts)
+                    parts.clear()
                 try:
                     found += rows(path, language, kind, text or "", *others)
                 except Exception:  # noqa: BLE001, S112  one odd file must not end the scan
@@ -74,7 +84,8 @@ def _mapped(files: DataFrame, schema, rows: Callable[..., list], *more: str) ->
                     found = []
         yield given(found)
 
-    return files.select("path", "language", "class", "text", *more).mapInArrow(run, schema)
+    last = ["last"] if pieces else []
+    return files.select("path", "language", "class", "text", *last, *more).mapInArrow(run, schema)
 
 
 def _infra(path: str, language: str, kind: str, text: str) -> list[dict]:

@@ -343,3 +343,36 @@ def test_azure_query_reads_one_file_in_pieces(spark, tmp_path, monkeypatch):
     duckdb.sql(f"CREATE OR REPLACE TEMP VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
     want = duckdb.sql(texts.ORACLES["src37_azure"]).fetchall()
     assert sorted(map(tuple, texts.QUERIES["src37_azure"](spark, str(tmp_path)).collect())) == sorted(want)
+
+
+def test_a_file_of_code_is_sent_in_pieces_and_read_whole(spark, monkeypatch):
+    import pyarrow as pa
+
+    from envlattice import schemas
+    from envlattice.plans import languages
+    from envlattice.sources import accessors, project
+
+    language, shapes = languages.LANGUAGES["src26_typescript"]
+    orders = spark.createDataFrame([(i, i % 100) for i in range(100 * 2 * languages.PIECE + 100)], "o_orderkey long, o_custkey long")
+    parts = languages.files(orders.where("o_custkey = 3"), language, shapes).collect()
+    assert max(r.text.count("\n") for r in parts) <= languages.PIECE + 1  # a header's line more
+    texts = {}
+    for r in parts:
+        assert not texts.get(r.path, ("", False))[1]  # nothing follows a last piece
+        texts[r.path] = (texts.get(r.path, ("", False))[0] + r.text, r.last)
+    assert texts == {f"typescript/s{i}/f3": (s.header + "\n".join([s.line.replace("@", "").replace("KEY", "KEY_3")] * (2 * languages.PIECE + 1)), True)
+                     for i, s in enumerate(shapes)}
+
+    class Files:
+        def select(self, *columns):
+            assert columns == ("path", "language", "class", "text", "last")
+            return self
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return run
+
+    pieces = [("a", "os.getenv('A')\nos.get", False), ("a", "env('B')", True), ("b", "os.getenv('C')", True)]
+    batches = [pa.RecordBatch.from_pydict({"path": [p], "language": ["python"], "class": ["code"], "text": [t], "last": [x]}) for p, t, x in pieces]
+    run = project._mapped(Files(), schemas.USAGES, lambda path, own, kind, text: accessors.scan(path, text, own), pieces=True)
+    rows = [r for b in run(iter(batches)) for r in b.to_pylist()]
+    assert [(r["name"], r["file"], r["line"]) for r in rows] == [("A", "a", 1), ("B", "a", 2), ("C", "b", 1)]
