@@ -82,6 +82,22 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def give_back_driver(spark: SparkSession) -> bool:
+    """The same for the driver's JVM, if it can: each query's short-lived threads leave what they freed in pools of their own."""
+    jvm = spark._jvm
+    try:
+        # by the interface's method: the class of the beans' server is not open to other modules
+        beans = jvm.java.lang.Class.forName("javax.management.MBeanServer")
+        invoke = next(m for m in beans.getMethods() if m.getName() == "invoke")
+        told = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)
+        told[0] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        told[1] = "systemTrimNativeHeap"
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), told)
+    except Exception:  # noqa: BLE001  other JVMs have no such command, and nothing depends on it
+        return False
+    return True
+
+
 def returning(run: Callable, *ends: Callable) -> Callable:
     """A function for ``mapInArrow`` that calls ``ends`` and gives back memory when its task is done."""
 

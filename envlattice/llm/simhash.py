@@ -220,9 +220,8 @@ def groups(
     they have rows. Then rows are compared with all others of an entry, but links are given out only between what is
     not joined yet, so that no group's pairs are ever listed and yet no link between two groups is lost.
     """
-    stars = written(star_links(prints, names, max_distance, plan[:STARS], compared), "stars")
+    stars = star_links(prints, names, max_distance, plan[:STARS], compared)
     joined = components(stars).withColumnsRenamed({"node": "id", "component": "group"})  # reads its own last table only
-    forget(stars)
     grouped = written(prints.join(joined, "id", "left").withColumn("group", F.coalesce("group", "id")), "grouped")
     rest = links(grouped, names, max_distance, plan, compared)
     # what joins groups is far less than what they hold: the second time only groups are nodes

@@ -1,3 +1,4 @@
+import re
 from itertools import combinations
 
 import numpy as np
@@ -5,7 +6,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from envlattice.llm import simhash
+from envlattice.llm import common, simhash
+from envlattice.llm import components as component_rounds
 from envlattice.llm.components import components
 
 DIR = "/root/testdata/sf0.001"
@@ -101,6 +103,30 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize(("edges", "rounds"), [([(7, i) for i in range(8, 40)], 0), ([(1, 2), (2, 3)], 1), ([], 0)])
+def test_components_run_no_round_for_links_that_are_stars(spark, monkeypatch, edges, rounds):
+    ran = []
+    monkeypatch.setattr(component_rounds, "_small_star", lambda e, f=component_rounds._small_star: ran.append(1) or f(e))
+    found = components(spark.createDataFrame(edges, "a long, b long"))
+    assert {(r.node, r.component) for r in found.collect()} == {(x, edges[0][0]) for e in edges for x in e}
+    assert len(ran) == rounds
+
+
+def test_a_round_sends_nothing_through_the_driver_and_deals_a_table_once(spark, tmp_path):
+    # the driver keeps threads, classes and buffers of every exchange for a while, and a run has dozens of rounds
+    spark.range(1, 1000).selectExpr("id AS a", "id DIV 2 AS b").where("b > 0").write.parquet(f"{tmp_path}/links")
+    links = spark.read.parquet(f"{tmp_path}/links")
+    after = component_rounds._small_star(component_rounds._large_star(links))
+    assert {(r.a, r.b) for r in after.collect()} >= {(2, 1), (3, 1)}
+    plan = after._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "BroadcastExchange" not in plan
+    assert len(re.findall(r"[-:] Exchange ", plan)) <= 7
+
+
+def test_the_driver_gives_back_what_it_has_freed(spark):
+    assert common.give_back_driver(spark)  # Java 17.0.9 and later
+
+
 def edited(words, rate, rng):
     return [f"new{rng.integers(10**9)}" if rng.random() < rate else w for w in words]
 
